@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import toxicity
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, labels, held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.tagged(F.col("text"), model).alias("tagged"))
+    return scored.select("doc_id", "held_out", F.col("tagged.score").alias("score"), (F.col("tagged.score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_best_fit_packing,)}
+    return {f.__name__: f for f in (op3_toxicity, op4_best_fit_packing,)}
 
 
 def oracle_sql() -> dict[str, str]:
