@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRAIN_DOCS = 15_000
-FIT_DOCS = 1_500
+FIT_DOCS = 900
 #: Features that are kept at most, by their likelihood ratio.
 LEXICON = 5_000
 #: Share of the documents with a feature that must be toxic.
-PURE = 0.6
+PURE = 0.8
 PREFIXES = (4, 5, 6)
 SEGMENT = 64
-STEPS = 80
+STEPS = 150
 MEMO_WORDS = 300_000
 #: Words times documents that a lockstep pass holds at most.
 CELLS = 2_000_000
@@ -112,22 +112,22 @@ def fit_chain(model: Model, rows: list[tuple[int, str]]) -> None:
     there = np.array([[t < len(seg) for t in range(SEGMENT)] for seg in hits])
     truth = np.zeros((lanes, SEGMENT))
     truth[lane, step] = np.array(label)[lane] if len(lane) else 0
-    total, pair_there = there.sum(), there[:, 1:]
+    pair_there = there[:, 1:]
     theta = np.zeros(n + 1 + 4)  # features, bias, transitions 00 01 10 11
     theta[n] = -3.0
-    square = np.full_like(theta, 1e-8)
+    slope, square = np.zeros_like(theta), np.zeros_like(theta)  # Adam's running means
     real = np.array([(truth[:, :-1] == a) & (truth[:, 1:] == b) & pair_there for a in (0, 1) for b in (0, 1)]).sum(axis=(1, 2))
     scale = max(1.0, truth.sum())
-    for _ in range(STEPS):
+    for k in range(1, STEPS + 1):
         e = np.full((lanes, SEGMENT), theta[n])
         np.add.at(e, (lane, step), theta[feature])
         move = np.exp(theta[n + 1 :]).reshape(2, 2)
         p, pairs = marginals(e, there, move, True)
         gap = np.where(there, truth - p, 0.0)
         grad = np.concatenate([np.bincount(feature, gap[lane, step], n) if n else np.zeros(0), [gap.sum()], real - pairs]) / scale
-        grad -= 1e-3 * theta / max(1.0, total / 1e4)
-        square += grad**2
-        theta += 0.5 * grad / np.sqrt(square)
+        grad -= 1e-5 * theta
+        slope, square = 0.9 * slope + 0.1 * grad, 0.99 * square + 0.01 * grad**2
+        theta += 0.15 * (slope / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-9)
     model.weights, model.bias, model.move = theta[:n], float(theta[n]), np.exp(theta[n + 1 :]).reshape(2, 2)
 
 
