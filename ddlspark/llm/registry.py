@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, substrings, toxicity, windows
+from . import lm_scoring, substrings, token_files, toxicity, windows
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = toxicity.fold(F.col("doc_id"), 5) == 0
@@ -47,7 +53,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity, op4_best_fit_packing, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_token_ids, op3_toxicity, op4_best_fit_packing, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
