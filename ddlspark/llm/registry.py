@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm_scoring, substrings, token_files, toxicity, windows
+from . import jaccard_join, lm_scoring, substrings, token_files, toxicity, windows
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = windows.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "dedup.n_words", "dedup.n_removed", F.sha2(F.col("dedup.kept").cast("binary"), 256).alias("kept_sha256"))
@@ -53,7 +57,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_ids, op3_toxicity, op4_best_fit_packing, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

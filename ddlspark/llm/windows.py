@@ -51,11 +51,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def encoded(texts: list[str | None], lower: bool) -> Iterator[bytes]:
+    for text in texts:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        yield data.lower() if lower else data  # bytes.lower() changes A-Z only
+
+
 class Words:
     """The words of some texts, and hashes of any windows of them."""
 
-    def __init__(self, texts: list[str | None]):
-        rows = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]  # at 0x20 and 0x09 to 0x0D
+    def __init__(self, texts: list[str | None], lower: bool = False):
+        rows = [t.split() for t in encoded(texts, lower)]  # at 0x20 and 0x09 to 0x0D
         self.rows, self.size = rows, np.fromiter(map(len, rows), np.int64, len(rows))
         data = np.frombuffer(b" ".join([w for r in rows for w in r]) + b" ", np.uint8)
         up, self.down = powers(len(data) + 1)
