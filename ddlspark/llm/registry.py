@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scoring, substrings, token_files, toxicity, windows
+from . import decontamination, jaccard_join, lm_scoring, substrings, token_files, toxicity, windows
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = F.col("contamination")
+    return out.select("doc_id", found.n_words.alias("n_words"), found.n_hit.alias("n_hit"), found.n_items.alias("n_items"), F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"), found.contaminated.alias("contaminated"))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -57,7 +64,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
