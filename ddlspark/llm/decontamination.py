@@ -115,10 +115,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, per_words
     answers = materialize(covered.join(named, "key"), "answers")
     own = answers.select(F.col("key").alias("_key"), F.col("n_hit").alias("_hit"), F.col("items").alias("_items"))
     text = F.col(text_col)
-    joined = docs.withColumn("_key", row_key(F.col(id_col), text)).join(broadcast_if(own, own.count(), BROADCAST_ROWS), "_key", "left")
-    n_words, n_hit = F.size(words_of(text)).cast("long"), F.coalesce("_hit", F.lit(0)).cast("long")
+    counted = docs.withColumns({"_key": row_key(F.col(id_col), text), "_words": F.size(words_of(text)).cast("long")})
+    joined = counted.join(broadcast_if(own, own.count(), BROADCAST_ROWS), "_key", "left")
+    n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
     listed = F.coalesce("_items", F.array().cast("array<string>"))
-    found = F.struct(n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"))
-    rows = joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col], found.alias("_found"))
-    guilty = (F.col("_found.n_hit") > 0) & (per_words * F.col("_found.n_hit") >= F.col("_found.n_words"))
-    return rows.withColumn(out_col, F.col("_found").withField("contaminated", guilty)).drop("_found")
+    guilty = (n_hit > 0) & (per_words * n_hit >= F.col("_words"))
+    found = F.struct(F.col("_words").alias("n_words"), n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), listed.alias("items"), guilty.alias("contaminated"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col], found.alias(out_col))

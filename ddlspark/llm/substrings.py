@@ -25,14 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, materialize
+from ._work import materialize
 
 #: Bytes of an anchor.
 GRAM = 64
 #: Bytes of text hashed at once, and contexts sorted at once (more only if one anchor has more).
 BATCH_BYTES, CONTEXTS = 3_000_000, 16_000
-#: Anchors, or spans, that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,11 +142,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col:
                 at = to
 
     found = materialize(texts.filter(F.length("bytes") >= length).mapInPandas(find, "key long, pos int, anchor long"), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written first, so that both sides of the join are shuffled and Spark can split an anchor with very many places
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
     # those of a text together; equal rows of the input are two documents with one key
-    wanted = materialize(found.join(often, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchors")), "wanted")
-    n = wanted.agg(F.sum(F.size("pos"))).first()[0] or 0
-    around = texts.join(broadcast_if(wanted, n, BROADCAST_ROWS), "key")
+    wanted = found.join(often, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchors"))
+    around = texts.join(wanted, "key")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,8 +229,7 @@ def merged(lows, highs) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup") -> DataFrame:
     """``docs`` with ``out_col``, a struct: n_bytes, n_removed, n_spans, kept (binary), spans (array of low, high)."""
-    spans = materialize(repeated_spans(docs, length, GRAM, id_col, text_col), "spans")
-    n = spans.agg(F.sum(F.size("lows"))).first()[0] or 0
+    spans = repeated_spans(docs, length, GRAM, id_col, text_col)
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<low:int,high:int>>")
     def cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
@@ -251,5 +248,5 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = docs.columns
     own = spans.select(F.col("key").alias("_key"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs"))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(broadcast_if(own, n, BROADCAST_ROWS), "_key", "left")
+    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(own, "_key", "left")
     return joined.select(*[F.col(f"`{c}`") for c in names if c != out_col], cut(text, F.col("_lows"), F.col("_highs")).alias(out_col))
