@@ -190,7 +190,10 @@ def links(sets: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest id reachable by links of a Jaccard similarity of 0.75 or more."""
+    """doc_id, n_shingles, component_id: the smallest id reachable by links of a Jaccard similarity of 0.75 or more.
+
+    Also key, a hash of id and text, and group: the component's own number, null for documents without shingles.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     found = materialize(scan(texts, words), "sets")
@@ -209,6 +212,16 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
     at = components(links(sets))
     placed = classes.join(at.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = placed.join(least, "component").select("set", "component_id")
+    answer = placed.join(least, "component").select("set", "component_id", F.col("component").alias("group"))
     joined = found.join(answer, "set", "left")
-    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "key", "group")
+
+
+def without_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id, rows without one last.  Documents without shingles stay."""
+    found = similar_groups(docs, words, id_col, text_col)
+    last = F.coalesce("doc_id", F.lit(2**63 - 1))
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(last.alias("id"), "key")).alias("least")).select("least.key")
+    kept = first.unionByName(found.filter("group is null").select("key").distinct()).withColumnRenamed("key", "_key")
+    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(kept, "_key")
+    return rows.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

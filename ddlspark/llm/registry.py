@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, lm_scoring, substrings, token_files, toxicity, windows
+from . import decontamination, jaccard_join, licenses, lm_scoring, substrings, token_files, toxicity, windows
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).drop("key", "group")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,12 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2("dedup.kept", 256).alias("kept_sha256"))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.transform("licenses", lambda m: m.template)), ",")
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("templates"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold(F.col("doc_id"), 7) == 2
     scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), ~held_out)
@@ -64,7 +70,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op8_license_scans, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
