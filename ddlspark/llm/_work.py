@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,10 +24,26 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
-    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    Before, garbage is collected, so that Spark's cleaner removes the shuffle files of steps that are already written.
+    """
+    spark = df.sparkSession
+    gc.collect()
+    spark._jvm.System.gc()
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialized ``tables`` that no later step reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.work_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,12 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, materialize
+from ._work import materialize, release
 from .substrings import _slide
 
 BATCH_BYTES = 2_000_000
-#: Repeated picked windows, their places, or documents with words to remove, that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_ROWS = 2_500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
@@ -124,9 +122,8 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
 
     found = materialize(docs.select("key", "text").mapInPandas(pick, "key long, place int, hash long"), "picked")
     often = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
-    n = often.count()
-    wanted = materialize(found.join(broadcast_if(often, n, BROADCAST_ROWS), "hash").groupBy("key").agg(F.collect_list("place").alias("places")), "wanted")
-    n = wanted.agg(F.sum(F.size("places"))).first()[0] or 0
+    wanted = materialize(found.join(often, "hash").groupBy("key").agg(F.collect_list("place").alias("places")), "wanted")
+    release(found, often)
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -142,7 +139,7 @@ def candidates(docs: DataFrame, window: int) -> DataFrame:
                     out.append((key, id_, starts.astype(np.int32), h[first + starts].astype(np.int64)))
                 yield pd.DataFrame(out, columns=["key", "id", "starts", "hashes"])
 
-    around = docs.join(broadcast_if(wanted, n, BROADCAST_ROWS), "key")
+    around = docs.join(wanted, "key")
     return around.mapInPandas(extend, "key long, id long, starts array<int>, hashes array<long>")
 
 
@@ -173,7 +170,6 @@ def covered_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", tex
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup") -> DataFrame:
     """``docs`` with ``out_col``, a struct: n_words, n_removed, kept (words joined by one space)."""
     spans = materialize(covered_words(docs, window, id_col, text_col), "covered")
-    n = spans.agg(F.sum(F.size("lows"))).first()[0] or 0
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
@@ -193,7 +189,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = docs.columns
     own = spans.select(F.col("key").alias("_key"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs"))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(broadcast_if(own, n, BROADCAST_ROWS), "_key", "left")
+    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(own, "_key", "left")
     return joined.select(*[F.col(f"`{c}`") for c in names if c != out_col], cut(text, F.col("_lows"), F.col("_highs")).alias(out_col))
 
 
