@@ -27,13 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import broadcast_if, materialize
+from ._work import materialize
 from .components import components
 from .windows import Words, batches_of
 
-#: Rows that a broadcast may hold; more are joined by a shuffle.
-BROADCAST_ROWS = 2_500_000
-
 
 def least_shared(n):
     """Shingles that a set of ``n`` must share with a linked one: three quarters, rounded up."""
@@ -147,7 +144,7 @@ def indexed(sets: DataFrame) -> DataFrame:
     """(hash, set, n): each set's rarest shingles, as many as one of them must be shared with any linked set."""
     entries = sets.select("set", "n", F.explode("hashes").alias("hash"))
     often = materialize(entries.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1"), "often")
-    shared = entries.join(broadcast_if(often, often.count(), BROADCAST_ROWS), "hash")
+    shared = entries.join(often, "hash")
     rarest = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own"))
     must = F.floor((3 * F.col("n") + 3) / 4)
     # hashes that no other set has come first and fill part of the prefix
@@ -202,12 +199,11 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
     # shingles in the heads of two different sets
     heads = some.select("set", F.explode("head").alias("hash"))
     shared = materialize(heads.groupBy("hash").agg(F.min("set").alias("x"), F.max("set").alias("y")).filter("x <> y").select("hash"), "shared")
-    first = broadcast_if(classes.select("set", "key"), classes.count(), BROADCAST_ROWS)
-    hits = some.join(first, ["set", "key"]).select("set", "n", F.explode("head").alias("hash")).join(broadcast_if(shared, shared.count(), BROADCAST_ROWS), "hash")
+    hits = some.join(classes.select("set", "key"), ["set", "key"]).select("set", "n", F.explode("head").alias("hash")).join(shared, "hash")
     must = F.greatest(F.lit(1), F.floor(F.floor((3 * F.col("n") + 3) / 4) / 10))
     # rows that agree in id and text come as often as they are there
     alive = materialize(hits.groupBy("set", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= must).select("set").join(classes, "set").select("set", "key"), "alive")
-    picked = texts.select("key", "text").join(broadcast_if(alive, alive.count(), BROADCAST_ROWS), "key")
+    picked = texts.select("key", "text").join(alive, "key")
     sets = materialize(whole_sets(picked, words).dropDuplicates(["set"]), "whole")
     at = components(links(sets))
     placed = classes.join(at.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
