@@ -3,7 +3,7 @@
 A text is its words (lower-cased A-Z) joined by one space, then an end symbol, so the tree's probability is one of
 the word sequence.  Contexts of up to ``DEPTH`` symbols are counted over all training documents.  A context is
 retained if it makes up at least ``P_MIN`` of all positions and its next-symbol distribution diverges from that of
-its next shorter one: count times Kullback-Leibler divergence is at least ``DIVERGENCE``.  Suffixes of retained
+its next shorter one: Kullback-Leibler divergence is at least ``LEAST_BITS``, and ``DIVERGENCE`` times one over the count.  Suffixes of retained
 contexts are retained too.  A context's distribution is smoothed by ``KAPPA`` pseudo-counts dealt out as its
 next shorter context predicts.  Scoring walks the automaton of the tree's contexts and their prefixes, whose state is always the
 longest one that is a suffix of what was read.  P_MIN bounds the tree by DEPTH / P_MIN contexts whatever the corpus,
@@ -28,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import materialize
+from ._work import materialize, release
 
 DEPTH = 5
-P_MIN = 1e-5
-DIVERGENCE = 20.0
+P_MIN = 2e-5
+DIVERGENCE, LEAST_BITS = 20.0, 0.01
 KAPPA = 20.0
 END = 10  # a line end, which no word holds
 LANE = 1024
 COUNT_BYTES = 3_000_000
+CHUNK_CHARS = 16_000_000
 MERGE_KEYS = 1_500_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -174,34 +175,34 @@ def learn(texts: DataFrame) -> Tree:
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(2, int(np.ceil(P_MIN * total)))
     symbol = F.col("key").bitwiseAND(255).cast("int")
-    level, kept = None, None
+    levels, wanted = [], {(0, 0)}
     for depth in range(DEPTH + 1):
         context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * depth) - 1)
         own = counts.groupBy(context.alias("context"), symbol.alias("symbol")).agg(F.sum("n").alias("n"))
         sums = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        rows = own.join(sums, "context").withColumn("depth", F.lit(depth))
-        if depth == 0:
-            level, kept = rows, rows.select("depth", "context", "symbol", "n", F.lit(True).alias("retained"))
-            continue
-        shorter = F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1)
-        before = level.select(F.col("context").alias("shorter"), "symbol", F.col("n").alias("n0"), F.col("total").alias("total0"))
-        joined = rows.withColumn("shorter", shorter).join(before, ["shorter", "symbol"])
-        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n0") / F.col("total0"))))
-        far = joined.groupBy("context").agg(gain.alias("gain")).filter(F.col("gain") >= DIVERGENCE).select("context")
-        flagged = rows.join(far.withColumn("retained", F.lit(True)), "context", "left")
-        kept = kept.unionByName(flagged.select("depth", "context", "symbol", "n", F.coalesce("retained", F.lit(False)).alias("retained")))
-        level = rows
-    rows = kept.toPandas()  # at most (DEPTH + 1) / P_MIN contexts with their symbols
-    return Tree(closed(rows))
-
-
-def closed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Retained contexts and all their suffixes."""
-    want = {(0, 0)}
-    for depth, context in rows.loc[rows["retained"], ["depth", "context"]].drop_duplicates().itertuples(index=False):
-        want.update((k, int(context) & ((1 << 8 * k) - 1)) for k in range(depth + 1))
-    pairs = pd.MultiIndex.from_arrays([rows["depth"], rows["context"]])
-    return rows[pairs.isin(list(want))]
+        level = materialize(own.join(sums, "context").withColumn("depth", F.lit(depth)), "level")
+        if depth:
+            shorter = F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1)
+            before = levels[-1].select(F.col("context").alias("shorter"), "symbol", F.col("n").alias("n0"), F.col("total").alias("total0"))
+            joined = level.withColumn("shorter", shorter).join(before, ["shorter", "symbol"])
+            gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n0") / F.col("total0"))))
+            far = joined.groupBy("context", "total").agg(gain.alias("gain")).filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_BITS * np.log(2) * F.col("total")))
+            for (name,) in far.select("context").collect():  # at most 1 / P_MIN contexts
+                wanted.update((k, int(name) & ((1 << 8 * k) - 1)) for k in range(depth + 1))
+        levels.append(level)
+    spark = texts.sparkSession
+    named = spark.createDataFrame(pd.DataFrame(sorted(wanted), columns=["depth", "context"]), "depth int, context long")
+    rows = [x.join(F.broadcast(named), ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas() for x in levels]
+    release(counts, *levels)
+    return Tree(pd.concat(rows, ignore_index=True))
+
+
+def split(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of about CHUNK_CHARS characters."""
+    ends = np.cumsum(batch["text"].map(len).to_numpy())
+    part = (ends // CHUNK_CHARS) if len(ends) else ends
+    for k in np.unique(part):
+        yield batch[part == k]
 
 
 def chunks(docs: DataFrame, tree) -> DataFrame:
@@ -209,7 +210,7 @@ def chunks(docs: DataFrame, tree) -> DataFrame:
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(x for whole in batches for x in split(whole)):
             known: dict[bytes, int] = {}
             rows = [words(x) for x in batch["text"]]
             code = np.fromiter((known.setdefault(w, len(known)) for r in rows for w in r), np.uint32)
