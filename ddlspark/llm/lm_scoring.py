@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from ._work import materialize, release
 
-DEPTH = 5
-P_MIN = 2e-5
-DIVERGENCE, LEAST_BITS = 20.0, 0.01
+DEPTH = 6
+P_MIN = 1e-5
+DIVERGENCE, LEAST_BITS = 20.0, 0.005
 KAPPA = 20.0
 END = 10  # a line end, which no word holds
 LANE = 1024
