@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import materialize
+from ._work import materialize, release
 from .components import components
 from .windows import Words, batches_of
 
@@ -193,8 +193,9 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-    found = materialize(scan(texts, words), "sets")
-    some = found.filter("n > 0")
+    scanned = materialize(scan(texts, words), "scanned")
+    found = materialize(scanned.drop("head"), "sets")
+    some = scanned.filter("n > 0")
     classes = materialize(some.groupBy("set").agg(F.min("id").alias("rep"), F.min("key").alias("key")), "classes")
     # shingles in the heads of two different sets
     heads = some.select("set", F.explode("head").alias("hash"))
@@ -203,6 +204,7 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
     must = F.greatest(F.lit(1), F.floor(F.floor((3 * F.col("n") + 3) / 4) / 10))
     # rows that agree in id and text come as often as they are there
     alive = materialize(hits.groupBy("set", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= must).select("set").join(classes, "set").select("set", "key"), "alive")
+    release(scanned, shared)
     picked = texts.select("key", "text").join(alive, "key")
     sets = materialize(whole_sets(picked, words).dropDuplicates(["set"]), "whole")
     at = components(links(sets))
