@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, licenses, lm_scoring, substrings, token_files, toxicity, windows
+from . import audio, decontamination, jaccard_join, licenses, lm_scoring, substrings, token_files, toxicity, windows
 from .packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,13 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("templates"))
 
 
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no recordings: each embedding is played as a tune, and every fiftieth is looked for among all."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), audio.melody(F.col("embedding")).alias("samples"))
+    prints = vectors.select("id", audio.fingerprints(F.col("samples")).alias("print"))
+    return audio.search(prints, F.col("id") % 50 == 0)
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold(F.col("doc_id"), 7) == 2
     scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), ~held_out)
@@ -70,7 +77,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op8_license_scans, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_ids, op3_toxicity, op4_best_fit_packing, op5_ngram_jaccard_join, op6_substring_dedup, op7_suffix_array_dedup, op8_license_scans, op9_audio_fingerprints, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
