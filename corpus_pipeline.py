@@ -7,8 +7,9 @@ operator says.
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ddlspark.llm import decontamination, jaccard_join, packing, substrings, toxicity
@@ -38,10 +39,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumns({"n_chars": n_chars, "text": text}).select(*COLUMNS)
 
 
-@F.pandas_udf("string")
-def readable(kept):  # noqa: ANN001, ANN201
+def readable(kept: Column) -> Column:
     """Bytes as text, without incomplete characters."""
-    return kept.map(lambda b: b.decode("utf-8", "ignore") if b is not None else None)
+
+    @F.pandas_udf("string")
+    def decoded(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: b.decode("utf-8", "ignore") if b is not None else None)
+
+    return decoded(kept)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

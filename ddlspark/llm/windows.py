@@ -194,15 +194,18 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
 
 
 def levels(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int, DataFrame]]:
-    """(length, (key, start, hash) of the repeated windows of that length) for window, twice that, and so on while there are any."""
+    """(length, (key, start, hash, times) of the repeated windows of that length) for window, twice that, and so on while there are any.
+
+    times: how many rows of the input agree in id and text and so share the key.
+    """
     held = materialize(candidates(keyed(docs, id_col, text_col), window), "level").select("key", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-    rows, length = held.select("key", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")), window
+    rows, length = held.groupBy("key", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")).agg(F.count("*").alias("times")), window
     while True:
-        often = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-        rows = materialize(rows.join(often, "hash").select("key", "start", "hash"), "level")
+        often = rows.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash")
+        rows = materialize(rows.join(often, "hash").select("key", "start", "hash", "times"), "level")
         if rows.isEmpty():
             return
         yield length, rows
         second = rows.select("key", (F.col("start") - length).alias("start"), F.col("hash").alias("second"))
-        rows = rows.join(second, ["key", "start"]).select("key", "start", F.xxhash64("hash", "second").alias("hash"))
+        rows = rows.join(second, ["key", "start"]).select("key", "start", F.xxhash64("hash", "second").alias("hash"), "times")
         length *= 2
