@@ -3,7 +3,8 @@
 1. Sets are hashed; documents with equal sets are one class.  Only shingles that another set has can link.  A set that could
    be linked shares some of its ``reach`` smallest hashes with its partner, and enough of them; sets that share fewer are done.
 2. The others are indexed by their rarest shingles (prefix filter), as many as a partner must hit.
-3. Each set is compared with the one leader that most of its lists name.  A set that links to its leader keeps only the
+3. Each set is compared with the leader that most of its lists name, and again, with the next, while lists name leaders it is not yet
+   connected to, ``ROUNDS`` times.  A list's leader is the set whose shingles are most shared.  A set that links to its leader keeps only the
    shingles that it has more or less than the leader, and its distance to it.
 4. In a list, a leader's sets are one block.  Blocks of one component are skipped, as are blocks whose leaders are farther apart
    than the link distance and both blocks' radii (distances of sets obey the triangle inequality).  Leaders near enough link as they are.
@@ -32,6 +33,10 @@ from .components import components
 from .windows import Words, batches_of
 
 
+#: How often sets look for a leader; what remains is left to steps 4 and 5.
+ROUNDS = 2
+
+
 def least_shared(n):
     """Shingles that a set of ``n`` must share with a linked one: three quarters, rounded up."""
     return (3 * n + 3) // 4
@@ -39,7 +44,7 @@ def least_shared(n):
 
 def spare(n):
     """By how much the hash prefix is longer than it must be, and so how many hashes a linked set shares in it."""
-    return np.maximum(1, n // 10)
+    return np.maximum(1, n // 20)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
@@ -141,27 +146,41 @@ def derived_pairs(pairs: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFr
 
 
 def indexed(sets: DataFrame) -> DataFrame:
-    """(hash, set, n): each set's rarest shingles, as many as one of them must be shared with any linked set."""
+    """(hash, set, n, score): each set's rarest shingles, as many as one of them must be shared with any linked set.
+
+    score: how many sets have a shingle of the set, on average; in a group of copies it is highest for the set that they come from.
+    """
     entries = sets.select("set", "n", F.explode("hashes").alias("hash"))
     often = materialize(entries.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     shared = entries.join(often, "hash")
-    rarest = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own"))
+    rarest = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own"), (F.sum("df") / F.first("n")).alias("score"))
     must = F.floor((3 * F.col("n") + 3) / 4)
     # hashes that no other set has come first and fill part of the prefix
     length = (F.col("n") - must + 1 - (F.col("n") - F.size("own"))).cast("int")
-    kept = rarest.withColumn("length", length).filter("length > 0").select("set", "n", F.explode(F.slice("own", 1, F.col("length"))).alias("e"))
-    return kept.select(F.col("e.hash").alias("hash"), "set", "n")
+    kept = rarest.withColumn("length", length).filter("length > 0").select("set", "n", "score", F.explode(F.slice("own", 1, F.col("length"))).alias("e"))
+    return kept.select(F.col("e.hash").alias("hash"), "set", "n", "score")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly the sets that all links connect; ``sets`` (set, n, hashes) are distinct."""
     lists = materialize(indexed(sets), "lists")
-    lead = lists.groupBy("hash").agg(F.min("set").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    votes = lists.join(lead, "hash").filter("`set` <> leader").groupBy("set", "leader").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("set").agg(F.max(F.struct("votes", "leader")).alias("best")).select(F.col("set").alias("a"), F.col("best.leader").alias("b"))
-    stars = materialize(link_pairs(chosen, sets).filter("linked"), "stars")
-    edges = stars.select("a", "b")
-    at = components(edges)
+    asked = edges = stars = None
+    at = None
+    for _ in range(ROUNDS):
+        now = lists if at is None else lists.join(at.toDF("set", "component"), "set", "left")
+        own = now.withColumn("own", F.coalesce("component", "set") if at is not None else F.col("set"))
+        lead = own.groupBy("hash").agg(F.max(F.struct("score", "set", "own")).alias("l"), F.count("*").alias("m")).filter("m > 1").select("hash", F.col("l.set").alias("leader"), F.col("l.own").alias("theirs"))
+        votes = own.join(lead, "hash").filter("own <> theirs").groupBy(F.col("set").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes"))
+        if asked is not None:
+            votes = votes.join(asked, ["a", "b"], "left_anti")
+        best = votes.groupBy("a").agg(F.max(F.struct("votes", "b")).alias("best")).select("a", "best.b")
+        compared = materialize(link_pairs(best, sets), "stars")
+        found = compared.filter("linked")
+        asked = compared.select("a", "b") if asked is None else asked.unionByName(compared.select("a", "b"))
+        # a set keeps the first leader that it links to
+        stars = found if stars is None else stars.unionByName(found.join(stars.select("a"), "a", "left_anti"))
+        edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
+        at = components(edges)
     # blocks: the sets of a leader in a list
     of = stars.select(F.col("a").alias("set"), F.col("b").alias("leader"), "distance")
     placed = lists.join(of, "set", "left").join(at.withColumnRenamed("node", "set"), "set", "left")
@@ -201,7 +220,7 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
     heads = some.select("set", F.explode("head").alias("hash"))
     shared = materialize(heads.groupBy("hash").agg(F.min("set").alias("x"), F.max("set").alias("y")).filter("x <> y").select("hash"), "shared")
     hits = some.join(classes.select("set", "key"), ["set", "key"]).select("set", "n", F.explode("head").alias("hash")).join(shared, "hash")
-    must = F.greatest(F.lit(1), F.floor(F.floor((3 * F.col("n") + 3) / 4) / 10))
+    must = F.greatest(F.lit(1), F.floor(F.floor((3 * F.col("n") + 3) / 4) / 20))
     # rows that agree in id and text come as often as they are there
     alive = materialize(hits.groupBy("set", "n").agg(F.count("*").alias("hits")).filter(F.col("hits") >= must).select("set").join(classes, "set").select("set", "key"), "alive")
     release(scanned, shared)
