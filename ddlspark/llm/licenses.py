@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import Words, batches_of, mixed
+from .hashing import mixed
+from .windows import Words, batches_of
 
 BANDS = 44
 SHINGLE = 5

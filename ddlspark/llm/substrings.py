@@ -26,24 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import materialize, release
+from .hashing import BYTE_VALUES, mixed, powers, slide
 
 #: Bytes of an anchor.
 GRAM = 64
 #: Bytes of text hashed at once, and contexts sorted at once (more only if one anchor has more).
 BATCH_BYTES, CONTEXTS = 3_000_000, 16_000
+#: Places of an anchor whose contexts one task gathers at most.
+HOT = 20_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
-    """``best`` (minimum or maximum) of each ``width`` neighbours from each position on, by doubling."""
-    have = 1
-    while have * 2 <= width:
-        x = best(x[:-have], x[have:])
-        have *= 2
-    rest = width - have
-    return best(x[: len(x) - rest], x[rest:]) if rest else x
-
-
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the ``gram`` bytes (a power of two) from each position on, never 0."""
     x, have, factor = data.astype(np.uint64) + np.uint64(1), 1, ODD
@@ -66,13 +59,13 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
     first = np.cumsum(size) - size
     h = gram_hashes(data, gram)
     width = length - gram + 1
-    low = _slide(h, width, np.minimum)  # by window start
+    low = slide(h, width, np.minimum)  # by window start
     crossing = np.zeros(len(data) + 1, np.int32)  # windows that leave their text
     np.add.at(crossing, np.maximum(first, first + size - length + 1), 1)
     np.add.at(crossing, first + size, -1)
     low[np.cumsum(crossing)[: len(low)] > 0] = 0
     pad = np.zeros(width - 1, np.uint64)
-    best = _slide(np.concatenate([pad, low, pad]), width, np.maximum)  # over the windows that hold a position
+    best = slide(np.concatenate([pad, low, pad]), width, np.maximum)  # over the windows that hold a position
     at = np.flatnonzero(best == h)
     owner = np.searchsorted(first, at, "right") - 1
     return owner, at - first[owner], h[at]
@@ -123,8 +116,35 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.cast("binary").alias("bytes"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, lows, highs) of documents with repeated strings: byte spans to remove, ends exclusive, which may overlap."""
+def hot_spans(texts: DataFrame, wanted: DataFrame, length: int, reach: int) -> DataFrame:
+    """(key, low, high) of repeated windows around anchors (key, pos lists) that occur too often to gather their contexts.
+
+    Their windows are counted by 64-bit hashes instead, with partial sums, so no place's windows meet in one task.
+    """
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, data, places in zip(batch["key"], batch["bytes"], batch["pos"], strict=True):
+                up, down = powers(len(data) + 1)
+                sums = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(BYTE_VALUES[np.frombuffer(data, np.uint8)] * up[:-1], out=sums[1:])
+                starts = np.unique(np.asarray(places, dtype=np.int64)[:, None] - np.arange(reach + 1))
+                starts = starts[(starts >= 0) & (starts + length <= len(data))]
+                out.append((key, starts.astype(np.int32), mixed((sums[starts + length] - sums[starts]) * down[starts]).astype(np.int64)))
+            yield pd.DataFrame(out, columns=["key", "starts", "hashes"])
+
+    held = materialize(texts.join(wanted, "key").mapInPandas(hashed, "key long, starts array<int>, hashes array<long>"), "windows")
+    rows = held.select("key", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("key", F.col("w.starts").alias("low"), F.col("w.hashes").alias("hash"))
+    often = materialize(rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
+    return rows.join(often, "hash").select("key", "low", (F.col("low") + length).alias("high"))
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """(key, lows, highs) of documents with repeated strings: byte spans to remove, ends exclusive, which may overlap.
+
+    Anchors with more than ``hot`` places are left to ``hot_spans``.
+    """
     texts = keyed(docs, id_col, text_col)
     reach = length - gram
 
@@ -143,9 +163,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col:
 
     found = materialize(texts.filter(F.length("bytes") >= length).mapInPandas(find, "key long, pos int, anchor long"), "anchors")
     # written first, so that both sides of the join are shuffled and Spark can split an anchor with very many places
-    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "often")
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    busy = often.filter(F.col("n") > hot).select("anchor")
+    crowded = None
+    if not busy.isEmpty():
+        crowded = materialize(found.join(busy, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos")), "crowded")
     # those of a text together; equal rows of the input are two documents with one key
-    wanted = materialize(found.join(often, "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchors")), "wanted")
+    wanted = materialize(found.join(often.filter(F.col("n") <= hot), "anchor").groupBy("key").agg(F.collect_list("pos").alias("pos"), F.collect_list("anchor").alias("anchors")), "wanted")
     release(found, often)
     around = texts.join(wanted, "key")
 
@@ -213,8 +237,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = GRAM, id_col:
         return pd.DataFrame(out, columns=["key", "low", "high"])
 
     sorted_ = gathered.repartition("anchor").sortWithinPartitions("anchor")
-    found_spans = sorted_.mapInPandas(spans, "key long, low int, high int").distinct()
-    return found_spans.groupBy("key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    found_spans = sorted_.mapInPandas(spans, "key long, low int, high int")
+    if crowded is not None:
+        found_spans = found_spans.unionByName(hot_spans(texts, crowded, length, reach))
+    return found_spans.distinct().groupBy("key").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
 
 
 def merged(lows, highs) -> list[tuple[int, int]]:
@@ -228,9 +254,9 @@ def merged(lows, highs) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup", hot: int = HOT) -> DataFrame:
     """``docs`` with ``out_col``, a struct: n_bytes, n_removed, n_spans, kept (binary), spans (array of low, high)."""
-    spans = materialize(repeated_spans(docs, length, GRAM, id_col, text_col), "spans")
+    spans = materialize(repeated_spans(docs, length, GRAM, id_col, text_col, hot), "spans")
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<low:int,high:int>>")
     def cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:

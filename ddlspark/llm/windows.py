@@ -25,28 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._work import materialize, release
-from .substrings import _slide
+from .hashing import BYTE_VALUES, mixed, powers, slide
 
 BATCH_BYTES = 2_000_000
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE and its inverse modulo 2^64, to the powers 0 to n - 1."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BATCH_BYTES + 100_000)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            _powers[name] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base))])
-    return _powers["up"][:n], _powers["down"][:n]
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
 
 
 def encoded(texts: list[str | None], lower: bool) -> Iterator[bytes]:
@@ -80,13 +61,13 @@ class Words:
         if len(self.end) < window:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
         h, width = self.hashes(length), window - length + 1
-        low = _slide(h, width, np.minimum)
+        low = slide(h, width, np.minimum)
         leaving = np.zeros(len(self.end) + 1, np.int32)
         np.add.at(leaving, np.maximum(self.first, self.first + self.size - window + 1), 1)
         np.add.at(leaving, self.first + self.size, -1)
         low[np.cumsum(leaving)[: len(low)] > 0] = 0
         pad = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
+        at = np.flatnonzero(slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
         owner = np.searchsorted(self.first, at, "right") - 1
         return owner, at - self.first[owner], h[at]
 

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 from ddlspark.llm import jaccard_join, substrings, windows
 from ddlspark.llm.components import components
 
@@ -34,8 +36,9 @@ def test_levels_double_until_nothing_is_left(spark):
         assert lengths[n] == sum(c for c in grams.values() if c > 1)
 
 
-def test_byte_strings(spark):
-    got = Counter((r.doc_id, r.dedup.n_bytes, r.dedup.n_removed, r.dedup.n_spans, bytes(r.dedup.kept)) for r in substrings.without_repeats(frame(spark)).collect())
+@pytest.mark.parametrize("hot", [substrings.HOT, 3])
+def test_byte_strings(spark, hot):
+    got = Counter((r.doc_id, r.dedup.n_bytes, r.dedup.n_removed, r.dedup.n_spans, bytes(r.dedup.kept)) for r in substrings.without_repeats(frame(spark), hot=hot).collect())
     data = [(i, (t or "").encode()) for i, t in rows()]
     count = Counter(b[s : s + 400] for _, b in data for s in range(len(b) - 399))
     want = Counter()
