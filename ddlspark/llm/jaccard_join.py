@@ -8,8 +8,8 @@
    shingles that it has more or less than the leader, and its distance to it.
 4. In a list, a leader's sets are one block.  Blocks of one component are skipped, as are blocks whose leaders are farther apart
    than the link distance and both blocks' radii (distances of sets obey the triangle inequality).  Leaders near enough link as they are.
-5. Of the remaining blocks, pairs of members are answered incrementally: from the overlap of a member's leader with
-   the other set, minus and plus the overlaps of the few shingles by which the member differs from its leader.
+5. Of the remaining blocks, the larger one's leader is compared with the sets of the other.  The answers of the leader's sets are derived
+   from the leader's: only sets that differ from it by enough of the same shingles as the other set can link (see ``derived_links``).
 
 Nothing is capped: every pair that is not answered by 4 is answered by 5.  Shingles are compared by 64-bit hashes, and
 sets by a 64-bit sum of them.
@@ -122,36 +122,62 @@ def link_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long, linked boolean, distance double, more array<long>, less array<long>")
 
 
-def derived_pairs(pairs: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those that link, from a's leader: its overlap with b, less and more what a differs by."""
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (leader, b): ``short``, by how much they miss a link (none if 0 or less), and the shingles that one of both has."""
 
-    def derive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for b, leader, other, members in zip(batch["b"], batch["x"], batch["y"], batch["members"], strict=True):
-                base = overlap(leader, other)
-                for m in members:
-                    both = base - overlap(m["less"], other) + overlap(m["more"], other)
-                    size = len(leader) - len(m["less"]) + len(m["more"])
-                    if 4 * both >= 3 * (size + len(other) - both):
-                        out.append((m["a"], b))
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    empty = F.array().cast("array<long>")
-    own = pairs.join(stars.select("a", F.col("b").alias("leader"), "more", "less"), "a", "left")
-    own = own.select("a", "b", F.coalesce("leader", "a").alias("leader"), F.coalesce("more", empty).alias("more"), F.coalesce("less", empty).alias("less"))
-    blocks = own.groupBy("leader", "b", F.pmod(F.xxhash64("a"), F.lit(64)).alias("salt")).agg(F.collect_list(F.struct("a", "more", "less")).alias("members"))
+            for leader, b, x, y in zip(batch["leader"], batch["b"], batch["x"], batch["y"], strict=True):
+                short = 3 * (len(x) + len(y)) - 7 * overlap(x, y)
+                out.append((leader, b, short, np.setxor1d(x, y, assume_unique=True) if short > 0 else []))
+            yield pd.DataFrame(out, columns=["leader", "b", "short", "delta"])
+
     x, y = sets.select(F.col("set").alias("leader"), F.col("hashes").alias("x")), sets.select(F.col("set").alias("b"), F.col("hashes").alias("y"))
-    return blocks.join(x, "leader").join(y, "b").select("b", "x", "y", "members").mapInPandas(derive, "a long, b long")
+    return pairs.join(x, "leader").join(y, "b").select("leader", "b", "x", "y").mapInPandas(compare, "leader long, b long, short long, delta array<long>")
+
 
+def rare_part(rows: DataFrame, often: DataFrame, names: list[str]) -> DataFrame:
+    """(names, e): of each row's ``delta`` the elements of ``often`` (leader, e, df), rarest first, ``need`` - 1 of them left off."""
+    entries = rows.select(*names, "need", F.explode("delta").alias("e")).join(often, ["leader", "e"])
+    own = entries.groupBy(*names, "need").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("own"))
+    kept = own.withColumn("length", (F.size("own") - F.col("need") + 1).cast("int")).filter("length > 0")
+    return kept.select(*names, F.explode(F.slice("own", 1, F.col("length"))).alias("d")).select(*names, F.col("d.e").alias("e"))
 
-def indexed(sets: DataFrame) -> DataFrame:
+
+def derived_links(pairs: DataFrame, stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of b to the leader, or to sets of the leader's block, for all ``pairs`` (leader, b).
+
+    A member m lacks l shingles of its leader and has k others.  With b it shares what the leader shares with b, less and more
+    what m differs by, so m and b link if and only if 7 c >= short + 4 l + 3 k, c being the shingles by which both m and b differ from the leader.
+    As c must be that large, m and b meet in the rarest of those shingles (prefix filter); then c is counted.
+    """
+    found = materialize(differences(pairs, sets), "differences")
+    theirs = found.filter("short > 0").withColumn("need", F.ceil(F.col("short") / 4))
+    least = theirs.groupBy("leader").agg(F.min("short").alias("least"))
+    own = stars.select(F.col("b").alias("leader"), "a", F.concat("less", "more").alias("delta"), (4 * F.size("less") + 3 * F.size("more")).alias("cost"))
+    own = own.join(least, "leader").filter("7 * size(delta) >= cost + least").withColumn("need", F.ceil((F.col("least") + F.col("cost")) / 7))
+    own = materialize(own.drop("least"), "members")
+    often = materialize(own.select("leader", F.explode("delta").alias("e")).groupBy("leader", "e").agg(F.count("*").alias("df")), "deltas")
+    x = rare_part(own.withColumn("tx", F.size("delta")), often, ["leader", "a", "cost", "tx"])
+    y = rare_part(theirs.withColumn("ty", F.size("delta")), often, ["leader", "b", "short", "ty"])
+    met = x.join(y, ["leader", "e"]).filter("7 * least(tx, ty) >= short + cost").select("leader", "a", "b").distinct()
+    both = met.join(own.select("leader", "a", "cost", F.col("delta").alias("dx")), ["leader", "a"]).join(theirs.select("leader", "b", "short", F.col("delta").alias("dy")), ["leader", "b"])
+    linked = both.filter(7 * F.size(F.array_intersect("dx", "dy")) >= F.col("short") + F.col("cost")).select("a", "b")
+    return linked.unionByName(found.filter("short <= 0").select(F.col("leader").alias("a"), "b"))
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """(hash, df) of shingles that several sets have."""
+    return sets.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
+
+
+def indexed(sets: DataFrame, often: DataFrame) -> DataFrame:
     """(hash, set, n, score): each set's rarest shingles, as many as one of them must be shared with any linked set.
 
     score: how many sets have a shingle of the set, on average; in a group of copies it is highest for the set that they come from.
     """
     entries = sets.select("set", "n", F.explode("hashes").alias("hash"))
-    often = materialize(entries.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     shared = entries.join(often, "hash")
     rarest = shared.groupBy("set", "n").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("own"), (F.sum("df") / F.first("n")).alias("score"))
     must = F.floor((3 * F.col("n") + 3) / 4)
@@ -163,7 +189,9 @@ def indexed(sets: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame) -> DataFrame:
     """(a, b): links that connect exactly the sets that all links connect; ``sets`` (set, n, hashes) are distinct."""
-    lists = materialize(indexed(sets), "lists")
+    often = materialize(shared_shingles(sets), "often")
+    lists = materialize(indexed(sets, often), "lists")
+    release(often)
     asked = edges = stars = None
     at = None
     for _ in range(ROUNDS):
@@ -199,10 +227,14 @@ def links(sets: DataFrame) -> DataFrame:
     if unclear.isEmpty():
         return edges
     at = components(edges).withColumnRenamed("node", "set").withColumnRenamed("component", "now")
-    members = open_.join(at, "set", "left").select("hash", "set", "n", "leader", F.coalesce("now", "set").alias("now"))
-    a, b = members.toDF("hash", "x", "nx", "a", "cx"), members.toDF("hash", "y", "ny", "b", "cy")
-    pairs = unclear.join(a, "a").join(b, ["hash", "b"]).filter("cx <> cy and 4 * ny >= 3 * nx and 4 * nx >= 3 * ny").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    return edges.unionByName(derived_pairs(pairs, stars, sets))
+    members = materialize(open_.join(at, "set", "left").select("hash", "set", "leader", F.coalesce("now", "set").alias("now")), "members")
+    # each set of the smaller block is held against the leader of the larger one
+    size = members.groupBy("leader").agg(F.count("*").alias("size"))
+    sized = unclear.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    asked = sized.select(F.expr("if(na >= nb, a, b)").alias("leader"), F.expr("if(na >= nb, b, a)").alias("other"))
+    blocks = members.select("hash", "leader", F.col("now").alias("ours")).distinct()
+    pairs = asked.join(members.withColumnRenamed("leader", "other"), "other").join(blocks, ["hash", "leader"]).filter("now <> ours").select("leader", F.col("set").alias("b")).distinct()
+    return edges.unionByName(derived_links(pairs, stars, sets))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

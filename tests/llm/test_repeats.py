@@ -1,5 +1,6 @@
 """Operators 5, 6 and 7 against brute force."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -93,6 +94,24 @@ def test_jaccard_chains_of_near_copies(spark):
     assert got == least_ids(pairs)
 
 
+def test_jaccard_families_of_copies(spark):
+    """Copies of copies with changes of their own and common ones: many miss their leader but link to one of its sets."""
+    draw = random.Random(5)
+    pairs = []
+    for family in range(4):
+        texts = [[f"f{family}w{k}" for k in range(140)]]
+        for k in range(40):
+            w = list(texts[0] if draw.random() < 0.5 else draw.choice(texts))
+            for _ in range(draw.randint(1, 5)):
+                at = draw.randrange(len(w))
+                w[at : at + draw.randint(0, 1)] = [f"f{family}x{draw.randrange(60)}"] * draw.randint(0, 2)
+            texts.append(w)
+        pairs += [(1000 * family + k, " ".join(w)) for k, w in enumerate(texts)]
+    draw.shuffle(pairs)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, pairs)).collect())
+    assert got == least_ids(pairs)
+
+
 def test_one_of_each_group_stays(spark):
     kept = jaccard_join.without_similar(frame(spark))
     assert kept.columns == frame(spark).columns
