@@ -24,15 +24,17 @@ def work_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
-
-    Before, garbage is collected, so that Spark's cleaner removes the shuffle files of steps that are already written.
-    """
-    spark = df.sparkSession
+def sweep(spark: SparkSession) -> None:
+    """Collect garbage, so that Spark's cleaner removes the shuffle files of steps that are already written."""
     gc.collect()
     time.sleep(0.3)  # until the JVM has let go of what Python has dropped
     spark._jvm.System.gc()
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.  Before, ``sweep``."""
+    spark = df.sparkSession
+    sweep(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -1,15 +1,18 @@
 """LM scoring (operator 10): a probabilistic suffix tree over the bytes of a text, and a unigram baseline over words.
 
 A text is its words (lower-cased A-Z) joined by one space, then an end symbol, so the tree's probability is one of
-the word sequence.  Contexts of up to ``DEPTH`` symbols are counted over all training documents.  A context is
-retained if it makes up at least ``P_MIN`` of all positions and its next-symbol distribution diverges from that of
+the word sequence.  Contexts of up to ``DEPTH`` symbols, the tree's order, are counted over all training documents.  A context is
+retained if it occurs at least ``LEAST`` times and its next-symbol distribution diverges from that of
 its next shorter one: Kullback-Leibler divergence is at least ``LEAST_BITS``, and ``DIVERGENCE`` times one over the count.  Suffixes of retained
 contexts are retained too.  A context's distribution is smoothed by ``KAPPA`` pseudo-counts dealt out as its
-next shorter context predicts.  Scoring walks the automaton of the tree's contexts and their prefixes, whose state is always the
-longest one that is a suffix of what was read.  P_MIN bounds the tree by DEPTH / P_MIN contexts whatever the corpus,
-so the tree is broadcast.
+next shorter context predicts.  Neither bound is a share of the corpus, so the tree grows with it.
 
-Word counts have no bound: documents are cut into chunks, a chunk's distinct words (as 64-bit hashes) are summed and
+A symbol's probability depends on the DEPTH symbols before it and itself, its key.  Documents are cut into chunks; a chunk's distinct keys
+and counts are packed into buckets, which grow in number with the input, and summed by bucket.  Contexts are tables of one row a
+(context, symbol), joined by shuffles with those of the next shorter contexts; the probabilities of all keys are joined by bucket with
+the chunks' keys and go back to the chunks.  No part of the tree is collected or broadcast.
+
+Word counts have no bound either: a chunk's distinct words (as 64-bit hashes) are summed and
 joined over the cluster, and each chunk gets the counts of its own words back.
 
 Edge cases: null and empty texts are only the end; without training rows all symbols are equally likely and N and V
@@ -23,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._work import materialize, release
+from ._work import materialize, release, sweep
+from .hashing import mixed
 
 DEPTH = 6
-P_MIN = 1e-5
+LEAST = 2
 DIVERGENCE, LEAST_BITS = 20.0, 0.005
 KAPPA = 20.0
 END = 10  # a line end, which no word holds
@@ -39,6 +44,7 @@ LANE = 1024
 COUNT_BYTES = 3_000_000
 CHUNK_CHARS = 16_000_000
 MERGE_KEYS = 1_500_000
+BUCKET_CHARS = 8_000_000  # characters of all documents for each bucket of keys
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -71,43 +77,116 @@ def keys_of(rows: list[list[bytes]]) -> np.ndarray:
     return key[own[DEPTH:]]
 
 
-def context_counts(texts: DataFrame) -> DataFrame:
-    """(key, n): how often each symbol follows each DEPTH symbols in ``texts`` (text)."""
+class Counts:
+    """Distinct keys, sorted, and how often each is there and in training texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self) -> None:
+        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, c = np.concatenate([key, *(w[0] for w in waiting)]), np.concatenate([n, *(w[1] for w in waiting)])
-            distinct, where = np.unique(k, return_inverse=True)
-            return distinct, np.bincount(where, c, len(distinct)).astype(np.int64)
+    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
+        self.waiting.append((keys, n))
+        if sum(len(k) for k, _ in self.waiting) >= MERGE_KEYS:
+            self.merge()
 
-        def counted(rows: list[list[bytes]]) -> None:
-            nonlocal key, n, waiting
-            waiting.append(np.unique(keys_of(rows), return_counts=True))
-            if sum(len(w[0]) for w in waiting) >= MERGE_KEYS:
-                (key, n), waiting = merged(), []
+    def merge(self) -> None:
+        k, n = np.concatenate([self.key, *(w[0] for w in self.waiting)]), np.concatenate([self.n, *(w[1] for w in self.waiting)])
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
+        self.key, self.n, self.waiting = k[first], np.add.reduceat(n, first) if len(k) else n, []
 
-        rows, size = [], 0
-        for batch in batches:
-            for text in batch["text"]:
-                rows.append(words(text))
-                size += len(text or "") + DEPTH + 1
-                if size >= COUNT_BYTES:
-                    counted(rows)
-                    rows, size = [], 0
-        if rows:
-            counted(rows)
-        key, n = merged()
-        for at in range(0, len(key), 200_000):
-            yield pd.DataFrame({"key": key[at : at + 200_000].astype(np.int64), "n": n[at : at + 200_000]})
 
-    return texts.select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def squeezed(x: np.ndarray) -> bytes:
+    """An array by planes of its bytes, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes, n: int, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).ravel()
+
+
+def buckets_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(key) % np.uint64(buckets)).astype(np.int64)
+
+
+def key_sums(packed: DataFrame) -> DataFrame:
+    """(bucket, key, n): sums over chunks of ``packed`` (bucket, size, keys, counts)."""
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        got = Counts()
+        for size, keys, counts in zip(part["size"], part["keys"], part["counts"], strict=True):
+            got.add(np.cumsum(unsqueezed(keys, size, "<u8")), unsqueezed(counts, size, "<u4").astype(np.int64))
+        got.merge()
+        return pd.DataFrame({"bucket": np.full(len(got.key), part["bucket"].iloc[0], np.int64), "key": got.key.astype(np.int64), "n": got.n})
+
+    return packed.groupBy("bucket").applyInPandas(summed, "bucket long, key long, n long")
+
+
+def context_levels(sums: DataFrame) -> list[DataFrame]:
+    """For each depth from 0 to DEPTH, (context, symbol, n, total) of all contexts in ``sums`` (bucket, key, n), seen in training or not."""
+    here = sums.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n", "bucket")
+    levels: list[DataFrame] = []
+    for depth in range(DEPTH, -1, -1):
+        if levels:
+            here = levels[-1].groupBy(shorter(depth).alias("context"), "symbol").agg(F.sum("n").alias("n"))
+        whole = here.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
+        levels.append(materialize(whole, "level"))
+    return levels[::-1]
+
+
+def shorter(depth: int) -> Column:
+    """The last ``depth`` symbols of the column context."""
+    return F.col("context").bitwiseAND((1 << 8 * depth) - 1)
+
+
+def retained(levels: list[DataFrame]) -> DataFrame:
+    """(depth, context) that diverge from their next shorter ones, and all suffixes of these but the empty one."""
+    far = None
+    for depth in range(1, DEPTH + 1):
+        before = levels[depth - 1].select(F.col("context").alias("shorter"), "symbol", F.col("n").alias("n0"), F.col("total").alias("total0"))
+        level = levels[depth].filter((F.col("n") > 0) & (F.col("total") >= LEAST))
+        joined = level.withColumn("shorter", shorter(depth - 1)).join(before, ["shorter", "symbol"])
+        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n0") / F.col("total0"))))
+        own = joined.groupBy("context", "total").agg(gain.alias("gain")).filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_BITS * np.log(2) * F.col("total")))
+        suffixes = F.array(*[F.struct(F.lit(k).alias("depth"), shorter(k).alias("context")) for k in range(1, depth + 1)])
+        own = own.select(F.explode(suffixes).alias("x")).select("x.depth", "x.context")
+        far = own if far is None else far.unionByName(own)
+    return materialize(far.distinct(), "retained")
+
+
+def chances(levels: list[DataFrame], kept: DataFrame) -> DataFrame:
+    """(bucket, key, p): each symbol's probability after the longest retained suffix of its context."""
+    smooth = lambda p0: (F.col("n") + KAPPA * p0) / (F.col("total") + KAPPA)
+    before = levels[0].select("context", "symbol", smooth(F.lit(1 / 256)).alias("p"))
+    for depth in range(1, DEPTH + 1):
+        own = kept.filter(F.col("depth") == depth).select("context", F.lit(True).alias("kept"))
+        joined = levels[depth].withColumn("shorter", shorter(depth - 1)).join(before.withColumnRenamed("context", "shorter"), ["shorter", "symbol"]).join(own, "context", "left")
+        p = F.when(F.col("kept"), smooth(F.col("p"))).otherwise(F.col("p"))
+        before = joined.select("context", "symbol", p.alias("p"), *(["bucket"] if depth == DEPTH else []))
+    return before.select("bucket", F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("long")).alias("key"), "p")
+
+
+def key_answers(packed: DataFrame, chance: DataFrame) -> DataFrame:
+    """(chunk, bucket, logs): log10 probabilities of the keys of each row of ``packed``, in their order."""
+
+    def answered(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(known["key"].to_numpy())
+        key, log = known["key"].to_numpy()[order].astype(np.uint64), np.log10(known["p"].to_numpy()[order]).astype("<f4")
+        logs = [squeezed(log[np.searchsorted(key, np.cumsum(unsqueezed(k, n, "<u8")))]) for n, k in zip(asked["size"], asked["keys"], strict=True)]
+        return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "logs": logs})
+
+    left = packed.select("chunk", "bucket", "size", "keys").groupBy("bucket")
+    return left.cogroup(chance.groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, logs binary")
 
 
 class Tree:
-    """Contexts, their smoothed distributions, and the automaton that finds the longest one."""
+    """Contexts, their smoothed distributions, and the automaton that finds the longest one, in one process's memory: for small corpora.
+
+    ``score_documents`` gives the same scores without holding the tree.
+    """
 
     def __init__(self, rows: pd.DataFrame):
         """``rows``: depth, context (integer of its bytes), symbol, n; of all contexts that are retained."""
@@ -170,30 +249,13 @@ class Tree:
 
 
 def learn(texts: DataFrame) -> Tree:
-    """The tree of ``texts`` (text), by divergence tests on counts over all of them."""
-    counts = materialize(context_counts(texts), "contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(np.ceil(P_MIN * total)))
-    symbol = F.col("key").bitwiseAND(255).cast("int")
-    levels, wanted = [], {(0, 0)}
-    for depth in range(DEPTH + 1):
-        context = F.shiftrightunsigned("key", 8).bitwiseAND((1 << 8 * depth) - 1)
-        own = counts.groupBy(context.alias("context"), symbol.alias("symbol")).agg(F.sum("n").alias("n"))
-        sums = own.groupBy("context").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        level = materialize(own.join(sums, "context").withColumn("depth", F.lit(depth)), "level")
-        if depth:
-            shorter = F.col("context").bitwiseAND((1 << 8 * (depth - 1)) - 1)
-            before = levels[-1].select(F.col("context").alias("shorter"), "symbol", F.col("n").alias("n0"), F.col("total").alias("total0"))
-            joined = level.withColumn("shorter", shorter).join(before, ["shorter", "symbol"])
-            gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n0") / F.col("total0"))))
-            far = joined.groupBy("context", "total").agg(gain.alias("gain")).filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_BITS * np.log(2) * F.col("total")))
-            for (name,) in far.select("context").collect():  # at most 1 / P_MIN contexts
-                wanted.update((k, int(name) & ((1 << 8 * k) - 1)) for k in range(depth + 1))
-        levels.append(level)
-    spark = texts.sparkSession
-    named = spark.createDataFrame(pd.DataFrame(sorted(wanted), columns=["depth", "context"]), "depth int, context long")
-    rows = [x.join(F.broadcast(named), ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas() for x in levels]
-    release(counts, *levels)
+    """The tree of ``texts`` (text), collected, by divergence tests on counts over all of them."""
+    cut = materialize(chunks(texts.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("train")), 1), "chunks")
+    levels = context_levels(key_sums(packed_keys(cut)))
+    kept = retained(levels)
+    named = kept.unionByName(kept.sparkSession.createDataFrame([(0, 0)], "depth int, context long"))
+    rows = [x.withColumn("depth", F.lit(d)).join(named, ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas() for d, x in enumerate(levels)]
+    release(cut, kept, *levels)
     return Tree(pd.concat(rows, ignore_index=True))
 
 
@@ -205,61 +267,121 @@ def split(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         yield batch[part == k]
 
 
-def chunks(docs: DataFrame, tree) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, text, train): scores by document, and words by their place in the chunk's list of distinct ones."""
+def chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """Chunks of ``docs`` (doc_id, text, train): texts, words by their place in the chunk's list of distinct ones, and keys by bucket."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         for k, batch in enumerate(x for whole in batches for x in split(whole)):
             known: dict[bytes, int] = {}
-            rows = [words(x) for x in batch["text"]]
-            code = np.fromiter((known.setdefault(w, len(known)) for r in rows for w in r), np.uint32)
-            size = np.fromiter(map(len, rows), np.int64, len(rows))
             train = batch["train"].to_numpy(dtype=bool)
-            score, at = [], 0
-            while at < len(rows):  # texts of some MB at once
-                to, used = at, 0
-                while to < len(rows) and used < COUNT_BYTES:
-                    used += sum(map(len, rows[to])) + len(rows[to]) + DEPTH + 1
-                    to += 1
-                score.append(tree.value.score(rows[at:to]))
-                at = to
+            texts, codes, sizes, keys = [], [], [], Counts()
+            for at, to in parts_of(batch["text"].map(len).tolist()):  # texts of some MB at once
+                rows = [words(x) for x in batch["text"].iloc[at:to]]
+                codes.append(np.fromiter((known.setdefault(w, len(known)) for r in rows for w in r), "<u4"))
+                sizes.append(np.fromiter(map(len, rows), "<i8", len(rows)))
+                texts.append(b"".join([b" ".join(r) + bytes([END]) for r in rows]))
+                own = train[at:to]
+                for seen in (True, False):
+                    some = [r for r, t in zip(rows, own, strict=True) if t == seen]
+                    if some:
+                        key, n = np.unique(keys_of(some), return_counts=True)
+                        keys.add(key, n if seen else np.zeros(len(n), np.int64))
+            keys.merge()
+            code, size = np.concatenate([np.zeros(0, "<u4"), *codes]), np.concatenate([np.zeros(0, "<i8"), *sizes])
             n = np.bincount(code[np.repeat(train, size)], minlength=len(known)).astype(np.int64)
+            bucket = buckets_of(keys.key, buckets)
+            order = np.argsort(bucket, kind="stable")  # keys stay sorted in each
+            bucket, key, count = bucket[order], keys.key[order], keys.n[order].astype("<u4")
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            named, sized = (bucket[np.r_[0, cuts]], np.diff(np.r_[0, cuts, len(key)])) if len(key) else (bucket, bucket)
             yield pd.DataFrame({
                 "chunk": [(part << 32) | k],
                 "doc_ids": [[None if pd.isna(x) else int(x) for x in batch["doc_id"]]],
-                "sizes": [size.astype("<i8").tobytes()],
-                "scores": [np.concatenate(score).astype("<f8").tobytes() if score else b""],
-                "codes": [code.astype("<u4").tobytes()],
+                "sizes": [size.tobytes()],
+                "texts": [pa.compress(b"".join(texts), codec="zstd", asbytes=True)],
+                "text_bytes": [sum(map(len, texts))],
+                "codes": [squeezed(code)],
+                "n_codes": [len(code)],
                 "hashes": [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)).astype(np.int64)],
                 "trained": [n],
                 "ends": [int(train.sum())],
+                "buckets": [named],
+                "bucket_sizes": [sized],
+                "keys": [[squeezed(np.diff(x, prepend=np.uint64(0))) for x in np.split(key, cuts)] if len(key) else []],
+                "counts": [[squeezed(x) for x in np.split(count, cuts)] if len(key) else []],
             })
 
-    schema = "chunk long, doc_ids array<long>, sizes binary, scores binary, codes binary, hashes array<long>, trained array<long>, ends long"
+    schema = "chunk long, doc_ids array<long>, sizes binary, texts binary, text_bytes long, codes binary, n_codes long, hashes array<long>, trained array<long>, ends long, buckets array<long>, bucket_sizes array<long>, keys array<binary>, counts array<binary>"
     return docs.mapInPandas(made, schema)
 
 
+def packed_keys(cut: DataFrame) -> DataFrame:
+    """chunk, bucket, size, keys, counts: one row for each bucket of a chunk's keys."""
+    x = F.arrays_zip("buckets", "bucket_sizes", "keys", "counts")
+    return cut.select("chunk", F.explode(x).alias("x")).select("chunk", F.col("x.buckets").alias("bucket"), F.col("x.bucket_sizes").alias("size"), "x.keys", "x.counts")
+
+
+def parts_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of about COUNT_BYTES."""
+    at = 0
+    while at < len(sizes):
+        to, used = at, 0
+        while to < len(sizes) and used < COUNT_BYTES:
+            used += sizes[to] + DEPTH + 1
+            to += 1
+        yield at, to
+        at = to
+
+
+def text_scores(row) -> np.ndarray:
+    """log10 probability of each text of a chunk, its end included, from the answers to its keys."""
+    keys, logs = [np.zeros(0, np.uint64)], [np.zeros(0, "<f4")]
+    found = {b: x for b, x in zip(row.asked, row.logs, strict=True)} if row.asked is not None else {}
+    for bucket, n, packed in zip(row.buckets, row.bucket_sizes, row.keys, strict=True):
+        keys.append(np.cumsum(unsqueezed(packed, int(n), "<u8")))
+        logs.append(unsqueezed(found[bucket], int(n), "<f4"))
+    index, log = pd.Index(np.concatenate(keys).astype(np.int64)), np.concatenate(logs)
+    out = [np.zeros(0)]
+    whole = pa.decompress(row.texts, decompressed_size=int(row.text_bytes), codec="zstd", asbytes=True) if row.text_bytes else b""
+    lines = whole.split(bytes([END]))[:-1]
+    for at, to in parts_of([len(x) for x in lines]):
+        rows = [[x] for x in lines[at:to]]  # words are joined already
+        _, size = inside(rows)
+        got = log[index.get_indexer(keys_of(rows).astype(np.int64))].astype(np.float64)
+        out.append(np.add.reduceat(got, np.cumsum(size) - size))
+    return np.concatenate(out)
+
+
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; ``train`` says which rows are learned from."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    spark = docs.sparkSession
-    tree = spark.sparkContext.broadcast(learn(texts.filter("train")))
-    cut = materialize(chunks(texts, tree), "chunks")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    cut = materialize(chunks(texts, 1 + chars // BUCKET_CHARS), "chunks")
+    packed = packed_keys(cut)
+    sums = materialize(key_sums(packed), "sums")
+    levels = context_levels(sums)
+    release(sums)
+    kept = retained(levels)
+    chance = materialize(chances(levels, kept), "chances")
+    release(kept, *levels)
+    logs = materialize(key_answers(packed, chance).groupBy("chunk").agg(F.collect_list("bucket").alias("asked"), F.collect_list("logs").alias("logs")), "logs")
+    release(chance)
     entries = cut.select("chunk", F.posexplode(F.arrays_zip("hashes", "trained")).alias("pos", "word")).select("chunk", "pos", F.col("word.hashes").alias("hash"), F.col("word.trained").alias("n"))
     totals = materialize(entries.groupBy("hash").agg(F.sum("n").alias("c")).filter("c > 0"), "words")
     ends = cut.agg(F.sum("ends")).first()[0] or 0
     n_words, distinct = totals.agg(F.sum("c"), F.count("*")).first()
     n, v = (n_words or 0) + ends, distinct + (ends > 0)
-    answers = entries.join(totals, "hash").groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("c").alias("c"))
+    answers = materialize(entries.join(totals, "hash").groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("c").alias("c")), "answers")
+    release(totals)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                c = np.zeros(len(row.hashes), np.int64)
+                c = np.zeros(row.n_hashes, np.int64)
                 if row.pos is not None:
                     c[np.asarray(row.pos, dtype=np.int64)] = row.c
-                size, code = np.frombuffer(row.sizes, "<i8"), np.frombuffer(row.codes, "<u4")
+                size, code = np.frombuffer(row.sizes, "<i8"), unsqueezed(row.codes, int(row.n_codes), "<u4")
                 owner = np.repeat(np.arange(len(size)), size)
                 total = np.bincount(owner, np.log10(c + 1.0)[code], len(size))
                 known = np.bincount(owner, (c > 0)[code], len(size)).astype(np.int64)
@@ -270,8 +392,9 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                     "n_known": known + (ends > 0),
                     "train_tokens": np.full(len(size), n, np.int64),
                     "base_score": total + np.log10(ends + 1.0) - (size + 1) * whole,
-                    "score": np.frombuffer(row.scores, "<f8"),
+                    "score": text_scores(row),
                 })
 
-    both = cut.drop("trained").join(answers, "chunk", "left")
+    sweep(docs.sparkSession)
+    both = cut.withColumn("n_hashes", F.size("hashes")).drop("hashes", "trained", "counts").join(answers, "chunk", "left").join(logs, "chunk", "left")
     return both.mapInPandas(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -85,6 +85,20 @@ def test_tree_is_a_distribution_that_learns(spark):
     assert total == pytest.approx(score[0], abs=1e-4)
 
 
+def test_rare_contexts_are_kept_in_a_large_corpus(spark):
+    rng = random.Random(5)
+    phrase = "zyx qwv kjh"  # 20 of over 2.5 * 10^6 positions, less than a share of 10^-5
+    pairs = [(k, " ".join(rng.choice(WORDS) for _ in range(9_000))) for k in range(60)]
+    pairs += [(1000 + k, phrase) for k in range(20)] + [(2000, phrase), (2001, "zyx qwv hjk"), (2002, None), (2003, "é zyx")]
+    docs = frame(spark, pairs)
+    train = F.col("doc_id") < 2000
+    got = {r.doc_id: r.score for r in lm_scoring.score_documents(docs, train).collect()}
+    tree = lm_scoring.learn(docs.filter(train).select("text"))
+    want = tree.score([lm_scoring.words(t) for _, t in pairs])
+    assert [got[i] for i, _ in pairs] == pytest.approx(want.tolist(), rel=1e-5, abs=1e-3)
+    assert sum(len(t or "") for _, t in pairs) > 2.5e6 and got[2000] > -14 and got[2001] < got[2000] - 2
+
+
 def test_scoring_without_training_rows(spark):
     got = lm_scoring.score_documents(frame(spark, [(1, "a b"), (2, None)]), F.lit(False)).orderBy("doc_id").collect()
     assert [r.n_known for r in got] == [0, 0] and got[1].score == pytest.approx(-math.log10(256), abs=1e-3)
