@@ -9,11 +9,12 @@ window's surroundings.  Only windows that hold a shingle of a template can agree
 are hashed.
 
 Edge cases: null and empty texts match nothing; a text shorter than a window is one window; overlapping finds of one
-template in a text are one match, the best; repeated rows match alike; an empty table gives no rows; other columns pass through.
+template in a text are one match, the best, and all others are matches of their own; repeated rows match alike; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,7 +93,7 @@ class Scanner:
         return out
 
     def _document(self, own: np.ndarray, places: np.ndarray) -> list[tuple[str, int, int, float]]:
-        found: dict[int, tuple[float, int, int]] = {}
+        found: dict[int, set[tuple[float, int, int]]] = {}
         for length, members in self.classes:
             step = max(1, length // 4)
             reach = max(1, length - SHINGLE + 1)  # shingles of a window
@@ -108,15 +109,42 @@ class Scanner:
                 for k in members:
                     if (bands == self.signatures[k]).any():
                         a, b = max(0, begin - step), min(len(own), begin + reach + step)
-                        hits = np.flatnonzero(np.isin(own[a:b], self.sets[k]))
-                        share = len(np.unique(own[a:b][hits])) / len(self.sets[k])
-                        if share >= CONTAINED and share > found.get(k, (0.0,))[0]:
-                            found[k] = (share, a + int(hits[0]), min(len(own), a + int(hits[-1]) + SHINGLE))
-        return sorted((self.names[k], a, b, share) for k, (share, a, b) in found.items())
+                        hits = a + np.flatnonzero(np.isin(own[a:b], self.sets[k]))
+                        for share, first, final in copies(hits.tolist(), own[hits].tolist(), len(self.sets[k])):
+                            found.setdefault(k, set()).add((share, first, min(len(own), final + SHINGLE)))
+        return sorted((self.names[k], a, b, share) for k, finds in found.items() for share, a, b in apart(finds))
+
+
+def copies(places: list[int], hashes: list[int], whole: int) -> list[tuple[float, int, int]]:
+    """Share, first and last place of each stretch that holds CONTAINED of a template's ``whole`` shingles; the shortest that holds most comes first."""
+    distinct = len(set(hashes))
+    if not distinct or distinct / whole < CONTAINED:
+        return []
+    held: dict[int, int] = {}
+    best, i = (places[-1] - places[0] + 1, 0, len(places) - 1), 0
+    for j, x in enumerate(hashes):
+        held[x] = held.get(x, 0) + 1
+        while held[hashes[i]] > 1:
+            held[hashes[i]] -= 1
+            i += 1
+        if len(held) == distinct:
+            best = min(best, (places[j] - places[i], i, j))
+    _, i, j = best
+    return [(distinct / whole, places[i], places[j]), *copies(places[:i], hashes[:i], whole), *copies(places[j + 1 :], hashes[j + 1 :], whole)]
+
+
+def apart(finds: set[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best of overlapping finds, and all that overlap none of these."""
+    kept: list[tuple[float, int, int]] = []
+    for share, a, b in sorted(finds, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        at = bisect.bisect_left(kept, a, key=lambda x: x[1])
+        if (at == 0 or kept[at - 1][2] <= a) and (at == len(kept) or kept[at][1] >= b):
+            kept.insert(at, (share, a, b))
+    return kept
 
 
 def matches(text: Column, templates: dict[str, str] | None = None) -> Column:
-    """Templates found in a text, by name: first and last word (exclusive), and the share of the template's shingles there."""
+    """Each occurrence of a template in a text, by name: first and last word (exclusive), and the share of the template's shingles there."""
     given = TEMPLATES if templates is None else templates
 
     @F.pandas_udf(MATCHES)

@@ -59,8 +59,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    names = F.array_join(F.array_sort(F.transform("licenses", lambda m: m.template)), ",")
-    return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("templates"))
+    names = F.array_sort(F.array_distinct(F.transform("licenses", lambda m: m.template)))
+    return found.select("doc_id", F.size(names).alias("n_licenses"), F.array_join(names, ",").alias("templates"))
 
 
 def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,6 +69,17 @@ def test_licenses(spark):
     assert licenses.scan_documents(frame(spark, [])).count() == 0
 
 
+def test_every_copy_of_a_license_is_a_match(spark):
+    rng = random.Random(3)
+    bsd, mit = licenses.TEMPLATES["bsd"], licenses.TEMPLATES["mit"]
+    n, m = len(bsd.split()), len(mit.split())
+    pairs = [(1, " ".join([bsd, prose(rng, 700), bsd, bsd, prose(rng, 30), mit, prose(rng, 5), mit]))]
+    got = [(x.template, x.first_word, x.last_word) for x in licenses.scan_documents(frame(spark, pairs)).first().licenses]
+    at = n + 700 + 2 * n + 30
+    want = [("bsd", k, k + n) for k in (0, n + 700, 2 * n + 700)] + [("mit", k, k + m) for k in (at, at + m + 5)]
+    assert got == want
+
+
 def recording(rng, notes=90):
     return np.concatenate([np.sin(2 * np.pi * 220 * 2 ** (rng.integers(24) / 12) * np.arange(1500) / audio.RATE) for _ in range(notes)])
 
