@@ -267,10 +267,11 @@ def similar_groups(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text
 
 
 def without_similar(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id, rows without one last.  Documents without shingles stay."""
+    """``docs`` with one document of each group: that of the smallest id, rows without one last.  All rows without shingles stay."""
     found = similar_groups(docs, words, id_col, text_col)
     last = F.coalesce("doc_id", F.lit(2**63 - 1))
     first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(last.alias("id"), "key")).alias("least")).select("least.key")
-    kept = first.unionByName(found.filter("group is null").select("key").distinct()).withColumnRenamed("key", "_key")
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))).join(kept, "_key")
-    return rows.dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\t-\r ]")  # white space alone has no shingles
+    kept = rows.filter(worded).join(first.withColumnRenamed("key", "_key"), "_key").dropDuplicates(["_key"])
+    return kept.unionByName(rows.filter(~worded)).select(*[F.col(f"`{c}`") for c in docs.columns])

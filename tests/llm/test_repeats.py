@@ -119,6 +119,12 @@ def test_one_of_each_group_stays(spark):
     assert ids.count(0) == 1 and not {24, 25} & set(ids) and 33 in ids
 
 
+def test_all_rows_without_shingles_stay(spark):
+    pairs = [(None, None), (None, ""), (None, None), (5, " \n"), (5, " \n"), (6, "a b c d e f g"), (7, "a b c d e f g"), (6, "a b c d e f g")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.without_similar(frame(spark, pairs)).collect()), key=repr)
+    assert kept == sorted([*pairs[:5], (6, "a b c d e f g")], key=repr)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 10), (20, 21)] + [(100, k) for k in range(101, 160)] + [(k, k + 1) for k in range(200, 230)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
