@@ -2,41 +2,43 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir``, as in local tests.
+#: Spark's own switch: the shuffle files of a query go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Used only where the session names no ``spark.checkpoint.dir`` and runs in one process, as in local tests.
 _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one where the session names none."""
+    """The folder that the driver and all executors share.  A local one only for a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not (spark.conf.get("spark.master", "") + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="llm-work-"))
     return _own[0]
 
 
-def sweep(spark: SparkSession) -> None:
-    """Collect garbage, so that Spark's cleaner removes the shuffle files of steps that are already written."""
-    gc.collect()
-    time.sleep(0.3)  # until the JVM has let go of what Python has dropped
-    spark._jvm.System.gc()
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.  Before, ``sweep``."""
+    """``df`` written as Parquet in the shared folder and read back: cuts lineage, survives lost executors.
+
+    The write's own shuffle files are removed when it has ended; nothing reads them again.
+    """
     spark = df.sparkSession
-    sweep(spark)
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
     return out

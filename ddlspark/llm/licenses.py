@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mixed
-from .windows import Words, batches_of
+from .words import Words, batches_of
 
 BANDS = 44
 SHINGLE = 5
@@ -67,7 +67,7 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        words = Words(list(templates.values()), lower=True)
+        words = Words.of(list(templates.values()), lower=True)
         all_ = shingles(words)
         parts = [all_[f : f + n] for f, n in zip(words.first, words.size, strict=True)]
         self.sets = [np.unique(p[p > 0]) for p in parts]
@@ -80,7 +80,7 @@ class Scanner:
         self.classes = [(max(int(words.size[k]) for k in ks), ks) for ks in classes.values()]
 
     def scan(self, texts: list[str | None]) -> list[list[tuple[str, int, int, float]]]:
-        words = Words(texts, lower=True)
+        words = Words.of(texts, lower=True)
         h = shingles(words)
         hot = np.flatnonzero(np.isin(h, self.known))
         owner = np.searchsorted(words.first, hot, "right") - 1

@@ -1,192 +1,231 @@
 """Substring dedup by words (operator 6): level-wise doubling of repeated windows.
 
-The first level counts windows of half the wanted length.  Every wanted window holds a picked one, the half-length
-window with the smallest hash in it, and copies hold copies of it, so only picked ones are counted.  Those that occur
-once are dropped; around the others all windows of twice that length are candidates of the next level, and
-``levels`` goes on doubling (by joining the hashes of two neighbouring survivors) until no candidates survive.  For removal, the
-smallest document with each candidate window is found by an aggregate with partial sums, so no window's occurrences are
-ever gathered; a document's windows that belong to others, or that it repeats itself, are covered words to remove.
+Windows of ``window`` words that also start earlier are removed.  The levels are a fourth, a half and the whole of that length (see
+``level_lengths``).  Every window of the whole length holds a picked one of the first level, the one with the smallest hash in it, and copies hold copies of
+it, so only picked ones are counted.  Those that occur once are dropped; the others alone are extended to twice their length, forward and
+backward, and counted again, until the whole length is reached or none survives.  Then all whole windows around the survivors ask for the
+smallest document that has them: a text's windows that an earlier one has, or that it repeats itself, are covered words to remove.
 
-Windows are compared by 64-bit hashes of their bytes: among n different candidate windows about n^2 / 2^65 pairs
-are taken for equal.
+Counts and smallest documents are found by packed questions of chunks (see ``chunks``), so no window's occurrences are ever gathered.
+``levels`` goes on doubling beyond the whole length.  Windows are compared by 64-bit hashes: among n different candidate windows about n^2 / 2^65 pairs are taken for equal.
 
 Edge cases: null and empty texts have no words; a text shorter than the window has no window; rows that agree in id are one
-document each but never count as earlier than each other; a null id comes before all others; an empty table gives
-no rows; other columns pass through ``without_repeats``.
+document each but never count as earlier than each other; a null id comes before all others; an empty table gives no
+rows; other columns pass through ``without_repeats``, whatever their names, but one named like its own result is replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ._work import materialize, release
-from .hashing import BYTE_VALUES, mixed, powers, slide
-
-BATCH_BYTES = 2_000_000
-
-
-def encoded(texts: list[str | None], lower: bool) -> Iterator[bytes]:
-    for text in texts:
-        data = (text or "").encode("utf-8", "surrogatepass")
-        yield data.lower() if lower else data  # bytes.lower() changes A-Z only
-
-
-class Words:
-    """The words of some texts, and hashes of any windows of them."""
-
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        rows = [t.split() for t in encoded(texts, lower)]  # at 0x20 and 0x09 to 0x0D
-        self.rows, self.size = rows, np.fromiter(map(len, rows), np.int64, len(rows))
-        data = np.frombuffer(b" ".join([w for r in rows for w in r]) + b" ", np.uint8)
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[data] * up[:-1], out=self.sums[1:])
-        self.end = np.flatnonzero(data == 32) if len(data) > 1 else np.zeros(0, np.int64)
-        self.begin = np.concatenate([[0], self.end[:-1] + 1]) if len(self.end) else self.end
-        self.first = np.cumsum(self.size) - self.size
-
-    def hashes(self, length: int) -> np.ndarray:
-        """Hash of the ``length`` words from each word on; windows may leave their text."""
-        n = max(0, len(self.end) - length + 1)
-        a, b = self.begin[:n], self.end[length - 1 : length - 1 + n]
-        return mixed((self.sums[b] - self.sums[a]) * self.down[a]) | np.uint64(1)
-
-    def picked(self, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text number, word number and hash of those ``length``-word windows that are the smallest in a ``window`` of words."""
-        if len(self.end) < window:
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-        h, width = self.hashes(length), window - length + 1
-        low = slide(h, width, np.minimum)
-        leaving = np.zeros(len(self.end) + 1, np.int32)
-        np.add.at(leaving, np.maximum(self.first, self.first + self.size - window + 1), 1)
-        np.add.at(leaving, self.first + self.size, -1)
-        low[np.cumsum(leaving)[: len(low)] > 0] = 0
-        pad = np.zeros(width - 1, np.uint64)
-        at = np.flatnonzero(slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
-        owner = np.searchsorted(self.first, at, "right") - 1
-        return owner, at - self.first[owner], h[at]
-
-
-def batches_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of some MB."""
-    at = 0
-    while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and (to == at or size + len(texts[to] or "") <= BATCH_BYTES):
-            size += len(texts[to] or "")
-            to += 1
-        yield at, to
-        at = to
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id (null before all others), text, and a key of both: rows that agree in it get the same answer."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
-
-
-def candidates(docs: DataFrame, window: int) -> DataFrame:
-    """(key, id, starts, hashes) of ``docs`` (key, id, text): windows around picked half windows that are repeated."""
-    half = window // 2
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, texts = batch["key"].to_numpy(), batch["text"].tolist()
-            for at, to in batches_of(texts):
-                owner, place, h = Words(texts[at:to]).picked(half, window)
-                yield pd.DataFrame({"key": keys[at:to][owner], "place": place.astype(np.int32), "hash": h.astype(np.int64)})
+from .chunks import answers, asked, bucket_count, bytes_of, cut, distinct, grouped, often, passed, passes, placed, thawed, with_result
+from .words import Words
 
-    found = materialize(docs.select("key", "text").mapInPandas(pick, "key long, place int, hash long"), "picked")
-    often = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "often")
-    wanted = materialize(found.join(often, "hash").groupBy("key").agg(F.collect_list("place").alias("places")), "wanted")
-    release(found, often)
+RESULT = StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
+#: Picked windows for each byte of text, about; they set the number of buckets.
+PICKED = 0.02
+
+
+def level_lengths(window: int, least: int = 5) -> list[int]:
+    """Window lengths by level, the wanted one last: each half of the next, as long as it is whole and not under ``least``."""
+    out = [window]
+    while out[0] % 2 == 0 and out[0] // 2 >= least and (len(out) < 2 or window >= 4 * (out[0] // 2)):
+        out.insert(0, out[0] // 2)
+    return out
+
+
+class Plan(NamedTuple):
+    window: int
+    steps: list[int]
+    buckets: int
+    text_at: int  # the column of the text
+
+
+class Level:
+    """A chunk's windows that ask at a level: of each, its first word, hash and text, in word order over passes."""
+
+    def __init__(self) -> None:
+        self.starts: list[np.ndarray] = []  # by pass
+        self.hashes: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+
+    def add(self, words: Words, starts: np.ndarray, length: int, first_text: int) -> None:
+        self.starts.append(starts)
+        self.hashes.append(words.hashes(length, starts))
+        self.owners.append(first_text + np.searchsorted(words.first, starts, "right") - 1)
+
+    def hash(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *self.hashes])
+
+    def owner(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *self.owners])
+
+
+def inside(words: Words, starts: np.ndarray, length: int) -> np.ndarray:
+    """Those of the sorted distinct ``starts`` from which ``length`` words of one text go on."""
+    starts = starts[(starts >= 0) & (starts + length <= len(words.hash))]
+    own = np.searchsorted(words.first, starts, "right") - 1
+    return starts[starts + length <= words.first[own] + words.size[own]]
+
+
+def extended(words: Words, survivors: np.ndarray, length: int, to: int, last: bool) -> np.ndarray:
+    """Windows of ``to`` words to ask for around survivors of ``length``: next to them on either side, or, at the last level, all that hold one."""
+    shifts = np.arange(to - length + 1) if last else np.array([0, to - length])
+    starts = np.unique((survivors[:, None] - shifts).ravel()) if len(survivors) else survivors
+    return inside(words, starts, to)
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for at, to in batches_of(texts):
-                words = Words(texts[at:to])
-                h = words.hashes(window)
-                part = batch.iloc[at:to]
-                out = []
-                for key, id_, places, first, size in zip(part["key"], part["id"], part["places"], words.first, words.size, strict=True):
-                    starts = np.unique(np.asarray(places)[:, None] - np.arange(window - half + 1))
-                    starts = starts[(starts >= 0) & (starts + window <= size)]
-                    out.append((key, id_, starts.astype(np.int32), h[first + starts].astype(np.int64)))
-                yield pd.DataFrame(out, columns=["key", "id", "starts", "hashes"])
-
-    around = docs.join(wanted, "key")
-    return around.mapInPandas(extend, "key long, id long, starts array<int>, hashes array<long>")
-
-
-def covered_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, lows, highs): ranges of words of documents that windows starting earlier elsewhere cover, ends exclusive."""
-    held = materialize(candidates(keyed(docs, id_col, text_col), window), "windows")
-    own = held.select("id", F.explode(F.array_distinct("hashes")).alias("hash"))
-    firsts = own.groupBy("hash").agg(F.min("id").alias("id")).groupBy("id").agg(F.collect_list("hash").alias("own"))
-    both = held.join(firsts, "id", "left")
-
-    def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                starts, hashes = np.asarray(row.starts, dtype=np.int64), np.asarray(row.hashes)
-                keep = np.zeros(len(starts), dtype=bool)
-                keep[np.unique(hashes, return_index=True)[1]] = True  # the first of each in this document
-                keep &= np.isin(hashes, np.asarray(row.own if row.own is not None else [], dtype=np.int64))
-                gone = starts[~keep]
-                if len(gone):
-                    cut = np.flatnonzero(np.diff(gone) > window)
-                    out.append((row.key, gone[np.concatenate([[0], cut + 1])], gone[np.concatenate([cut, [len(gone) - 1]])] + window))
-            yield pd.DataFrame(out, columns=["key", "lows", "highs"])
 
-    return both.mapInPandas(cover, "key long, lows array<long>, highs array<long>").dropDuplicates(["key"])
+def walked(row: dict, at: int, plan: Plan) -> tuple[Level, list[Words] | None, pa.Table]:
+    """The windows that a chunk asks for at step ``at``, from the answers of all steps before it in ``row``."""
+    table = thawed(row["rows"])
+    data, begin = bytes_of(table.column(plan.text_at))
+    steps = plan.steps
+    level, ranges = Level(), list(passes(begin))
+    all_words = [Words(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a]) for a, b in ranges]
+    for words, (a, _) in zip(all_words, ranges, strict=True):
+        level.add(words, words.picked(steps[0], plan.window), steps[0], a)
+    for k in range(1, at + 1):
+        key = distinct(level.hash())
+        repeated = placed(key, plan.buckets, row[f"level{k - 1}"], "u1")
+        hit = repeated[np.searchsorted(key, level.hash())] > 0 if len(key) else np.zeros(0, bool)
+        old, level, seen = level, Level(), 0
+        for words, (a, _), starts in zip(all_words, ranges, old.starts, strict=True):
+            survivors = starts[hit[seen : seen + len(starts)]]
+            seen += len(starts)
+            level.add(words, extended(words, survivors, steps[k - 1], steps[k], k == len(steps) - 1), steps[k], a)
+    return level, all_words, table
+
+
+def counted(row: dict, at: int, plan: Plan) -> tuple[np.ndarray, list[np.ndarray]]:
+    h = np.sort(walked(row, at, plan)[0].hash())
+    first = np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]])
+    times = np.diff(np.append(np.flatnonzero(first), len(h)))
+    return h[first], [np.minimum(times, 2)]
+
+
+def ids_of(column: pa.ChunkedArray) -> np.ndarray:
+    """Ids as integers, null before all others."""
+    return pc.fill_null(column.cast(pa.int64()), -(2**63)).to_numpy()
+
+
+def least_ids(level: Level, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, and the smallest id of a text of the chunk with each."""
+    h, own = level.hash(), ids[level.owner()]
+    order, start, _ = grouped(h)
+    return h[order][start], np.minimum.reduceat(own[order], start) if len(h) else own
+
+
+def least(key: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Reply: 1 where a chunk's smallest id is the smallest of all."""
+    order, start, group = grouped(key)
+    best = np.minimum.reduceat(values[0][order], start)
+    return (values[0] == best[group]).astype(np.uint8)
+
+
+def survived(docs: DataFrame, window: int, text_col: str) -> tuple[DataFrame, DataFrame, Plan]:
+    """The chunks, the chunks with the answers of all levels but the last, and the plan."""
+    chunked = table = cut(docs, text_col, "chunks")
+    plan = Plan(window, level_lengths(window), bucket_count(chunked, PICKED), docs.columns.index(text_col))
+    for k in range(len(plan.steps) - 1):
+        questions = asked(table, lambda row, k=k: counted(row, k, plan), ["u1"], plan.buckets)
+        table = table.join(answers(questions, ["u1"], often, f"level{k}"), "chunk", "left")
+    return chunked, table, plan
 
 
 def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", out_col: str = "dedup") -> DataFrame:
     """``docs`` with ``out_col``, a struct: n_words, n_removed, kept (words joined by one space)."""
-    spans = materialize(covered_words(docs, window, id_col, text_col), "covered")
-
-    @F.pandas_udf("n_words long, n_removed long, kept string")
-    def cut(texts: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, low, high in zip(texts, lows, highs, strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
-            kept = words
-            if low is not None:
-                kept, at = [], 0
-                for a, b in zip(low.tolist(), high.tolist(), strict=True):
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-            out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    _, table, plan = survived(docs, window, text_col)
     names = docs.columns
-    own = spans.select(F.col("key").alias("_key"), F.col("lows").alias("_lows"), F.col("highs").alias("_highs"))
-    joined = docs.withColumn("_key", F.xxhash64(F.col(id_col), text)).join(own, "_key", "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names if c != out_col], cut(text, F.col("_lows"), F.col("_highs")).alias(out_col))
+    last, wide, id_at = len(plan.steps) - 1, 2 * plan.buckets, docs.columns.index(id_col)
+
+    def firsts(row: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+        level, _, rows = walked(row, last, plan)
+        key, own = least_ids(level, ids_of(rows.column(id_at)))
+        return key, [own]
+
+    table = table.join(answers(asked(table, firsts, ["<i8"], wide), ["<i8"], least, "firsts"), "chunk", "left")
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                level, all_words, rows = walked(row, last, plan)
+                ids = ids_of(rows.column(id_at))
+                key, own = least_ids(level, ids)
+                ours = placed(key, wide, row["firsts"], "u1") > 0
+                yield from results(rows, removals(level, ids, key, own, ours, all_words), all_words)
+
+    def removals(level: Level, ids: np.ndarray, key: np.ndarray, own: np.ndarray, ours: np.ndarray, all_words: list[Words]) -> list[np.ndarray]:
+        """By pass, whether each word goes: it is in a window that an earlier text has, or that its own text has earlier."""
+        h, owner = level.hash(), level.owner()
+        at = np.searchsorted(key, h)
+        keep = ours[at] & (ids[owner] == own[at]) if len(h) else np.zeros(0, bool)
+        order = np.lexsort((np.arange(len(h)), owner, at))  # the first of each window in a text
+        again = np.zeros(len(h), bool)
+        again[order[1:]] = (at[order[1:]] == at[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        gone, seen, out = ~keep | again, 0, []
+        for words, starts in zip(all_words, level.starts, strict=True):
+            edge = np.zeros(len(words.hash) + 1, np.int32)
+            bad = starts[gone[seen : seen + len(starts)]]
+            seen += len(starts)
+            np.add.at(edge, bad, 1)
+            np.add.at(edge, bad + window, -1)
+            out.append(np.cumsum(edge)[:-1] > 0)
+        return out
+
+    def results(rows: pa.Table, gone: list[np.ndarray], all_words: list[Words]) -> Iterator[pa.RecordBatch]:
+        n_words = np.concatenate([np.zeros(0, np.int64), *[w.size for w in all_words]])
+        removed = [np.bincount(w.owner()[g], minlength=len(w.size)) for w, g in zip(all_words, gone, strict=True)]
+        texts = rows.column(plan.text_at).to_pylist()
+        kept, k = [], 0
+        for words, bad, lost in zip(all_words, gone, removed, strict=True):
+            for first, size, some in zip(words.first.tolist(), words.size.tolist(), lost.tolist(), strict=True):
+                own = (texts[k] or "").encode().split()
+                if some:
+                    own = [own[i] for i in np.flatnonzero(~bad[first : first + size])]
+                kept.append(b" ".join(own).decode())
+                k += 1
+        n_removed = np.concatenate([np.zeros(0, np.int64), *removed]).astype(np.int64)
+        found = pa.StructArray.from_arrays([pa.array(n_words.astype(np.int64)), pa.array(n_removed), pa.array(kept, pa.string())], RESULT.names)
+        yield passed(rows, names, out_col, found)
+
+    return table.mapInArrow(finished, with_result(docs, out_col, RESULT))
 
 
 def levels(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> Iterator[tuple[int, DataFrame]]:
-    """(length, (key, start, hash, times) of the repeated windows of that length) for window, twice that, and so on while there are any.
+    """(length, (chunk, start, hash) of the repeated windows of that length) for window, twice that, and so on while there are any.
 
-    times: how many rows of the input agree in id and text and so share the key.
+    start: the number of a window's first word in its chunk; texts lie a window apart, so that none goes on in the next one.
     """
-    held = materialize(candidates(keyed(docs, id_col, text_col), window), "level").select("key", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-    rows, length = held.groupBy("key", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash")).agg(F.count("*").alias("times")), window
+    chunked, table, plan = survived(docs, window, text_col)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k].as_py() for n in batch.schema.names}
+                level, all_words, _ = walked(row, len(plan.steps) - 1, plan)
+                lead = np.cumsum([0, *[len(w.hash) for w in all_words]])
+                starts = np.concatenate([np.zeros(0, np.int64), *[s + n for s, n in zip(level.starts, lead, strict=False)]]) + level.owner() * window
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row["chunk"], np.int64)), pa.array(starts), pa.array(level.hash().view(np.int64))], ["chunk", "start", "hash"])
+
+    rows, length = table.mapInArrow(held, "chunk long, start long, hash long"), window
     while True:
-        often = rows.groupBy("hash").agg(F.sum("times").alias("n")).filter("n > 1").select("hash")
-        rows = materialize(rows.join(often, "hash").select("key", "start", "hash", "times"), "level")
+        rows = materialize(rows, "level")
+        repeated = rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+        rows = materialize(rows.join(repeated, "hash").select("chunk", "start", "hash"), "level")
         if rows.isEmpty():
+            release(chunked)
             return
         yield length, rows
-        second = rows.select("key", (F.col("start") - length).alias("start"), F.col("hash").alias("second"))
-        rows = rows.join(second, ["key", "start"]).select("key", "start", F.xxhash64("hash", "second").alias("hash"), "times")
+        second = rows.select("chunk", (F.col("start") - length).alias("start"), F.col("hash").alias("second"))
+        rows = rows.join(second, ["chunk", "start"]).select("chunk", "start", F.xxhash64("hash", "second").alias("hash"))
         length *= 2
