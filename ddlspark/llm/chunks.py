@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ._work import materialize, partitions
+from ._work import materialize, partitions, release
 from .hashing import mixed
 
 CHUNK_BYTES = 6_000_000
@@ -109,11 +109,11 @@ def order_by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return order, bucket[order]
 
 
-def asked(table: DataFrame, questions: Callable, kinds: list[str], buckets: int) -> DataFrame:
+def asked(table: DataFrame, questions: Callable, kinds: list[str], buckets: int, bits: int = 64) -> DataFrame:
     """(bucket, chunk, size, parts): the packed keys of each chunk of ``table``.
 
     ``questions`` takes a row of ``table`` (a dict of its columns) and gives sorted keys and a list of arrays, one value a key, of the dtypes ``kinds``.
-    The keys of a row must be distinct unless the values tell them apart.
+    The keys of a row must be distinct unless the values tell them apart.  Only the first ``bits`` of a key are sent; its bucket depends on all of them.
     """
     names = ["bucket", "chunk", "size", "parts"]
 
@@ -125,7 +125,7 @@ def asked(table: DataFrame, questions: Callable, kinds: list[str], buckets: int)
                 order, bucket = order_by_bucket(key, buckets)
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 at = np.concatenate([[0], cuts, [len(key)]]) if len(key) else np.zeros(1, np.int64)
-                key, values = key[order], [v.astype(d)[order] for v, d in zip(values, kinds, strict=True)]
+                key, values = key[order] >> np.uint64(64 - bits), [v.astype(d)[order] for v, d in zip(values, kinds, strict=True)]
                 rows = [(int(bucket[a]), row["chunk"], int(b - a), [squeezed(np.diff(key[a:b], prepend=np.uint64(0))), *(squeezed(v[a:b]) for v in values)]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], names)
 
@@ -151,6 +151,18 @@ def answers(questions: DataFrame, kinds: list[str], reply: Callable, name: str)
     return materialize(back.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "size", "answer")).alias(name)), name)
 
 
+def with_answers(table: DataFrame, found: DataFrame) -> DataFrame:
+    """``table`` with the answers to each chunk: both sides grow with the input, so both are shuffled at any size."""
+    return table.join(found.hint("merge"), "chunk", "left")
+
+
+def settled(table: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """``with_answers``, written, in place of both sides' files: the next questions' shuffle does not stand beside the join's."""
+    out = materialize(with_answers(table, found), name)
+    release(table, found)
+    return out
+
+
 def placed(key: np.ndarray, buckets: int, found: list[dict] | None, dtype: str) -> np.ndarray:
     """The answers to the sorted ``key`` that a chunk asked, in their order."""
     out = np.zeros(len(key), dtype)

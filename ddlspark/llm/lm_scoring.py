@@ -1,22 +1,20 @@
-"""LM scoring (operator 10): a probabilistic suffix tree over the bytes of a text, and a unigram baseline over words.
-
-A text is its words (lower-cased A-Z) joined by one space, then an end symbol, so the tree's probability is one of
-the word sequence.  Contexts of up to ``DEPTH`` symbols, the tree's order, are counted over all training documents.  A context is
-retained if it occurs at least ``LEAST`` times and its next-symbol distribution diverges from that of
-its next shorter one: Kullback-Leibler divergence is at least ``LEAST_BITS``, and ``DIVERGENCE`` times one over the count.  Suffixes of retained
-contexts are retained too.  A context's distribution is smoothed by ``KAPPA`` pseudo-counts dealt out as its
-next shorter context predicts.  Neither bound is a share of the corpus, so the tree grows with it.
-
-A symbol's probability depends on the DEPTH symbols before it and itself, its key.  Documents are cut into chunks; a chunk's distinct keys
-and counts are packed into buckets, which grow in number with the input, and summed by bucket.  Contexts are tables of one row a
-(context, symbol), joined by shuffles with those of the next shorter contexts; the probabilities of all keys are joined by bucket with
-the chunks' keys and go back to the chunks.  No part of the tree is collected or broadcast.
-
-Word counts have no bound either: a chunk's distinct words (as 64-bit hashes) are summed and
-joined over the cluster, and each chunk gets the counts of its own words back.
-
-Edge cases: null and empty texts are only the end; without training rows all symbols are equally likely and N and V
-are 0; a null id is never a training row; repeated rows count and are scored one by one; an empty table gives no rows;
+"""LM scoring (operator 10): a probabilistic suffix tree over the words of a text, and its root, a unigram baseline.
+
+A text's symbols are its words (A-Z lower-cased) and an end.  Of each symbol the contexts are the one to ``order`` symbols before it; a mark
+before the first one is the longest context that a text's beginning has.  Next symbols are counted by context over all training texts.  A context is
+retained if it occurs at least ``LEAST`` times and its distribution diverges from the next shorter one's: smoothed without the occurrence that it predicts,
+it gives its own occurrences a probability higher by ``GAIN`` nats in all.  (A plain divergence grows with chance alone where
+counts are small; this one does not.)  A retained context's distribution is smoothed by ``KAPPA`` occurrences dealt out as its next shorter context
+predicts; one that is not retained predicts as its next shorter one, so a symbol is scored by its longest retained suffix.  The root gives a symbol
+(c + 1) / (N + V + 1), as the baseline does, which is all unseen symbols' share together.  No bound is a share of the corpus: the tree grows with it.
+
+Probabilities are kept as decimal logarithms in steps of 1 / ``STEP``.  A context is extended only where its count reaches ``LEAST``, so levels thin out.
+By level, chunks ask for their (context, symbol) pairs in packed form (see ``chunks``), with their counts and the next shorter context's probability;
+a bucket holds all pairs of its contexts, so it decides on them and answers.  No part of the tree is collected or broadcast.
+Contexts are 64-bit hashes, told apart in their bucket by 40 bits, and symbols of one context by 32 bits of theirs.
+
+Edge cases: null and empty texts are only the end; without training rows N and V are 0 and the one unseen symbol has probability 1;
+a null id is never a training row; repeated rows count and are scored one by one; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
 
@@ -25,376 +23,190 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._work import materialize, release, sweep
+
+from .chunks import answers, asked, bucket_count, bytes_of, cut, passes, placed, settled, thawed, unsqueezed, whole, with_answers
 from .hashing import mixed
+from .words import Words
 
-DEPTH = 6
+ORDER = 2
 LEAST = 2
-DIVERGENCE, LEAST_BITS = 20.0, 0.005
-KAPPA = 20.0
-END = 10  # a line end, which no word holds
-LANE = 1024
-COUNT_BYTES = 3_000_000
-CHUNK_CHARS = 16_000_000
-MERGE_KEYS = 1_500_000
-BUCKET_CHARS = 8_000_000  # characters of all documents for each bucket of keys
-LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
-
-def words(text: str | None) -> list[bytes]:
-    """Words of a text; bytes.split() splits at 0x20 and 0x09 to 0x0D."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-
-
-def stream(rows: list[list[bytes]]) -> np.ndarray:
-    """The symbols of all texts, DEPTH ends before each: what precedes a text never depends on another text."""
-    lead = bytes([END]) * DEPTH
-    return np.frombuffer(b"".join([lead + b" ".join(row) + bytes([END]) for row in rows]), np.uint8)
-
-
-def inside(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """First position and number of symbols of each text in its stream, the end included."""
-    size = np.array([sum(map(len, r)) + max(0, len(r) - 1) + 1 for r in rows], dtype=np.int64)
-    return np.cumsum(size + DEPTH) - size, size
-
-
-def keys_of(rows: list[list[bytes]]) -> np.ndarray:
-    """For each symbol of the texts: the DEPTH symbols before it and itself, as one integer."""
-    symbols = stream(rows).astype(np.uint64)
-    begin, size = inside(rows)
-    key = np.zeros(len(symbols) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        key = (key << np.uint64(8)) | symbols[k : len(symbols) - DEPTH + k]
-    own = np.ones(len(symbols), dtype=bool)
-    own[(begin[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
-    return key[own[DEPTH:]]
-
-
-class Counts:
-    """Distinct keys, sorted, and how often each is there and in training texts."""
-
-    def __init__(self) -> None:
-        self.key, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        self.waiting.append((keys, n))
-        if sum(len(k) for k, _ in self.waiting) >= MERGE_KEYS:
-            self.merge()
-
-    def merge(self) -> None:
-        k, n = np.concatenate([self.key, *(w[0] for w in self.waiting)]), np.concatenate([self.n, *(w[1] for w in self.waiting)])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), k[1:] != k[:-1]]))
-        self.key, self.n, self.waiting = k[first], np.add.reduceat(n, first) if len(k) else n, []
-
-
-def squeezed(x: np.ndarray) -> bytes:
-    """An array by planes of its bytes, compressed."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def unsqueezed(data: bytes, n: int, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    raw = pa.decompress(data, decompressed_size=n * size, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).ravel()
-
-
-def buckets_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(key) % np.uint64(buckets)).astype(np.int64)
-
-
-def key_sums(packed: DataFrame) -> DataFrame:
-    """(bucket, key, n): sums over chunks of ``packed`` (bucket, size, keys, counts)."""
-
-    def summed(part: pd.DataFrame) -> pd.DataFrame:
-        got = Counts()
-        for size, keys, counts in zip(part["size"], part["keys"], part["counts"], strict=True):
-            got.add(np.cumsum(unsqueezed(keys, size, "<u8")), unsqueezed(counts, size, "<u4").astype(np.int64))
-        got.merge()
-        return pd.DataFrame({"bucket": np.full(len(got.key), part["bucket"].iloc[0], np.int64), "key": got.key.astype(np.int64), "n": got.n})
-
-    return packed.groupBy("bucket").applyInPandas(summed, "bucket long, key long, n long")
-
-
-def context_levels(sums: DataFrame) -> list[DataFrame]:
-    """For each depth from 0 to DEPTH, (context, symbol, n, total) of all contexts in ``sums`` (bucket, key, n), seen in training or not."""
-    here = sums.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(255).cast("int").alias("symbol"), "n", "bucket")
-    levels: list[DataFrame] = []
-    for depth in range(DEPTH, -1, -1):
-        if levels:
-            here = levels[-1].groupBy(shorter(depth).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-        whole = here.withColumn("total", F.sum("n").over(Window.partitionBy("context")))
-        levels.append(materialize(whole, "level"))
-    return levels[::-1]
-
-
-def shorter(depth: int) -> Column:
-    """The last ``depth`` symbols of the column context."""
-    return F.col("context").bitwiseAND((1 << 8 * depth) - 1)
-
-
-def retained(levels: list[DataFrame]) -> DataFrame:
-    """(depth, context) that diverge from their next shorter ones, and all suffixes of these but the empty one."""
-    far = None
-    for depth in range(1, DEPTH + 1):
-        before = levels[depth - 1].select(F.col("context").alias("shorter"), "symbol", F.col("n").alias("n0"), F.col("total").alias("total0"))
-        level = levels[depth].filter((F.col("n") > 0) & (F.col("total") >= LEAST))
-        joined = level.withColumn("shorter", shorter(depth - 1)).join(before, ["shorter", "symbol"])
-        gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n0") / F.col("total0"))))
-        own = joined.groupBy("context", "total").agg(gain.alias("gain")).filter((F.col("gain") >= DIVERGENCE) & (F.col("gain") >= LEAST_BITS * np.log(2) * F.col("total")))
-        suffixes = F.array(*[F.struct(F.lit(k).alias("depth"), shorter(k).alias("context")) for k in range(1, depth + 1)])
-        own = own.select(F.explode(suffixes).alias("x")).select("x.depth", "x.context")
-        far = own if far is None else far.unionByName(own)
-    return materialize(far.distinct(), "retained")
-
-
-def chances(levels: list[DataFrame], kept: DataFrame) -> DataFrame:
-    """(bucket, key, p): each symbol's probability after the longest retained suffix of its context."""
-    smooth = lambda p0: (F.col("n") + KAPPA * p0) / (F.col("total") + KAPPA)
-    before = levels[0].select("context", "symbol", smooth(F.lit(1 / 256)).alias("p"))
-    for depth in range(1, DEPTH + 1):
-        own = kept.filter(F.col("depth") == depth).select("context", F.lit(True).alias("kept"))
-        joined = levels[depth].withColumn("shorter", shorter(depth - 1)).join(before.withColumnRenamed("context", "shorter"), ["shorter", "symbol"]).join(own, "context", "left")
-        p = F.when(F.col("kept"), smooth(F.col("p"))).otherwise(F.col("p"))
-        before = joined.select("context", "symbol", p.alias("p"), *(["bucket"] if depth == DEPTH else []))
-    return before.select("bucket", F.shiftleft("context", 8).bitwiseOR(F.col("symbol").cast("long")).alias("key"), "p")
-
-
-def key_answers(packed: DataFrame, chance: DataFrame) -> DataFrame:
-    """(chunk, bucket, logs): log10 probabilities of the keys of each row of ``packed``, in their order."""
-
-    def answered(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(known["key"].to_numpy())
-        key, log = known["key"].to_numpy()[order].astype(np.uint64), np.log10(known["p"].to_numpy()[order]).astype("<f4")
-        logs = [squeezed(log[np.searchsorted(key, np.cumsum(unsqueezed(k, n, "<u8")))]) for n, k in zip(asked["size"], asked["keys"], strict=True)]
-        return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "logs": logs})
-
-    left = packed.select("chunk", "bucket", "size", "keys").groupBy("bucket")
-    return left.cogroup(chance.groupBy("bucket")).applyInPandas(answered, "chunk long, bucket long, logs binary")
-
-
-class Tree:
-    """Contexts, their smoothed distributions, and the automaton that finds the longest one, in one process's memory: for small corpora.
-
-    ``score_documents`` gives the same scores without holding the tree.
-    """
-
-    def __init__(self, rows: pd.DataFrame):
-        """``rows``: depth, context (integer of its bytes), symbol, n; of all contexts that are retained."""
-        seen = np.array(sorted(set(rows["symbol"])), dtype=np.int64)
-        self.code = np.full(256, len(seen), np.int64)
-        self.code[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        unseen = 256 - len(seen)
-        per_symbol = np.ones(width)
-        per_symbol[-1] = max(1, unseen)
-        strings = {}
-        counts: dict[bytes, np.ndarray] = {}
-        for (depth, context), part in rows.groupby(["depth", "context"], sort=False):
-            name = int(context).to_bytes(DEPTH, "big")[DEPTH - depth :]
-            row = np.zeros(width)
-            np.add.at(row, self.code[part["symbol"].to_numpy()], part["n"].to_numpy())
-            counts[name] = row
-            for k in range(depth + 1):
-                strings[name[:k]] = 0
-        strings.setdefault(b"", 0)
-        order = sorted(strings, key=lambda x: (len(x), x))
-        index = {x: k for k, x in enumerate(order)}
-        self.width = width
-        self.next = np.zeros((len(order), width), np.int32)
-        chance = np.zeros((len(order), width))  # of a code: for the last one, of all unseen symbols together
-        children: dict[int, list[int]] = {}
-        for x, k in index.items():
-            if x:
-                children.setdefault(index[x[:-1]], []).append(k)
-        for k, x in enumerate(order):  # shorter ones first, so a state's longest proper suffix is done before it
-            link = next((index[x[j:]] for j in range(1, len(x) + 1) if x[j:] in index), 0)
-            before = chance[link] if x else per_symbol / per_symbol.sum()
-            chance[k] = (counts[x] + KAPPA * before) / (counts[x].sum() + KAPPA) if x in counts else before
-            if x:
-                self.next[k] = self.next[link]
-            for child in children.get(k, ()):
-                self.next[k, self.code[order[child][-1]]] = child
-        self.log = np.log10(chance / per_symbol).astype(np.float32)
-
-    def score(self, rows: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not rows:
-            return np.zeros(0)
-        symbols = self.code[stream(rows)].astype(np.int32)
-        begin, size = inside(rows)
-        lanes = -(-len(symbols) // LANE)
-        padded = np.zeros(DEPTH + lanes * LANE, np.int32)
-        padded[DEPTH : DEPTH + len(symbols)] = symbols
-        at = np.arange(lanes) * LANE
-        log, moves = self.log.ravel(), self.next.ravel()
-        state = np.zeros(lanes, np.int64)
-        got = np.zeros((LANE, lanes), np.float32)
-        for t in range(-DEPTH, LANE):  # a state is settled by the DEPTH symbols before
-            cell = state * self.width + padded[at + (t + DEPTH)]
-            if t >= 0:
-                got[t] = log[cell]
-            state = moves[cell]
-        flat = np.append(got.T.ravel()[: len(symbols)].astype(np.float64), 0.0)
-        return np.add.reduceat(flat, np.column_stack([begin, begin + size]).ravel())[::2]
-
-
-def learn(texts: DataFrame) -> Tree:
-    """The tree of ``texts`` (text), collected, by divergence tests on counts over all of them."""
-    cut = materialize(chunks(texts.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("train")), 1), "chunks")
-    levels = context_levels(key_sums(packed_keys(cut)))
-    kept = retained(levels)
-    named = kept.unionByName(kept.sparkSession.createDataFrame([(0, 0)], "depth int, context long"))
-    rows = [x.withColumn("depth", F.lit(d)).join(named, ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas() for d, x in enumerate(levels)]
-    release(cut, kept, *levels)
-    return Tree(pd.concat(rows, ignore_index=True))
-
-
-def split(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Consecutive rows of about CHUNK_CHARS characters."""
-    ends = np.cumsum(batch["text"].map(len).to_numpy())
-    part = (ends // CHUNK_CHARS) if len(ends) else ends
-    for k in np.unique(part):
-        yield batch[part == k]
-
-
-def chunks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Chunks of ``docs`` (doc_id, text, train): texts, words by their place in the chunk's list of distinct ones, and keys by bucket."""
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        for k, batch in enumerate(x for whole in batches for x in split(whole)):
-            known: dict[bytes, int] = {}
-            train = batch["train"].to_numpy(dtype=bool)
-            texts, codes, sizes, keys = [], [], [], Counts()
-            for at, to in parts_of(batch["text"].map(len).tolist()):  # texts of some MB at once
-                rows = [words(x) for x in batch["text"].iloc[at:to]]
-                codes.append(np.fromiter((known.setdefault(w, len(known)) for r in rows for w in r), "<u4"))
-                sizes.append(np.fromiter(map(len, rows), "<i8", len(rows)))
-                texts.append(b"".join([b" ".join(r) + bytes([END]) for r in rows]))
-                own = train[at:to]
-                for seen in (True, False):
-                    some = [r for r, t in zip(rows, own, strict=True) if t == seen]
-                    if some:
-                        key, n = np.unique(keys_of(some), return_counts=True)
-                        keys.add(key, n if seen else np.zeros(len(n), np.int64))
-            keys.merge()
-            code, size = np.concatenate([np.zeros(0, "<u4"), *codes]), np.concatenate([np.zeros(0, "<i8"), *sizes])
-            n = np.bincount(code[np.repeat(train, size)], minlength=len(known)).astype(np.int64)
-            bucket = buckets_of(keys.key, buckets)
-            order = np.argsort(bucket, kind="stable")  # keys stay sorted in each
-            bucket, key, count = bucket[order], keys.key[order], keys.n[order].astype("<u4")
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            named, sized = (bucket[np.r_[0, cuts]], np.diff(np.r_[0, cuts, len(key)])) if len(key) else (bucket, bucket)
-            yield pd.DataFrame({
-                "chunk": [(part << 32) | k],
-                "doc_ids": [[None if pd.isna(x) else int(x) for x in batch["doc_id"]]],
-                "sizes": [size.tobytes()],
-                "texts": [pa.compress(b"".join(texts), codec="zstd", asbytes=True)],
-                "text_bytes": [sum(map(len, texts))],
-                "codes": [squeezed(code)],
-                "n_codes": [len(code)],
-                "hashes": [np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known)).astype(np.int64)],
-                "trained": [n],
-                "ends": [int(train.sum())],
-                "buckets": [named],
-                "bucket_sizes": [sized],
-                "keys": [[squeezed(np.diff(x, prepend=np.uint64(0))) for x in np.split(key, cuts)] if len(key) else []],
-                "counts": [[squeezed(x) for x in np.split(count, cuts)] if len(key) else []],
-            })
-
-    schema = "chunk long, doc_ids array<long>, sizes binary, texts binary, text_bytes long, codes binary, n_codes long, hashes array<long>, trained array<long>, ends long, buckets array<long>, bucket_sizes array<long>, keys array<binary>, counts array<binary>"
-    return docs.mapInPandas(made, schema)
-
-
-def packed_keys(cut: DataFrame) -> DataFrame:
-    """chunk, bucket, size, keys, counts: one row for each bucket of a chunk's keys."""
-    x = F.arrays_zip("buckets", "bucket_sizes", "keys", "counts")
-    return cut.select("chunk", F.explode(x).alias("x")).select("chunk", F.col("x.buckets").alias("bucket"), F.col("x.bucket_sizes").alias("size"), "x.keys", "x.counts")
-
-
-def parts_of(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of about COUNT_BYTES."""
-    at = 0
-    while at < len(sizes):
-        to, used = at, 0
-        while to < len(sizes) and used < COUNT_BYTES:
-            used += sizes[to] + DEPTH + 1
-            to += 1
-        yield at, to
-        at = to
-
-
-def text_scores(row) -> np.ndarray:
-    """log10 probability of each text of a chunk, its end included, from the answers to its keys."""
-    keys, logs = [np.zeros(0, np.uint64)], [np.zeros(0, "<f4")]
-    found = {b: x for b, x in zip(row.asked, row.logs, strict=True)} if row.asked is not None else {}
-    for bucket, n, packed in zip(row.buckets, row.bucket_sizes, row.keys, strict=True):
-        keys.append(np.cumsum(unsqueezed(packed, int(n), "<u8")))
-        logs.append(unsqueezed(found[bucket], int(n), "<f4"))
-    index, log = pd.Index(np.concatenate(keys).astype(np.int64)), np.concatenate(logs)
-    out = [np.zeros(0)]
-    whole = pa.decompress(row.texts, decompressed_size=int(row.text_bytes), codec="zstd", asbytes=True) if row.text_bytes else b""
-    lines = whole.split(bytes([END]))[:-1]
-    for at, to in parts_of([len(x) for x in lines]):
-        rows = [[x] for x in lines[at:to]]  # words are joined already
-        _, size = inside(rows)
-        got = log[index.get_indexer(keys_of(rows).astype(np.int64))].astype(np.float64)
-        out.append(np.add.reduceat(got, np.cumsum(size) - size))
-    return np.concatenate(out)
-
-
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score; ``train`` says which rows are learned from."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    cut = materialize(chunks(texts, 1 + chars // BUCKET_CHARS), "chunks")
-    packed = packed_keys(cut)
-    sums = materialize(key_sums(packed), "sums")
-    levels = context_levels(sums)
-    release(sums)
-    kept = retained(levels)
-    chance = materialize(chances(levels, kept), "chances")
-    release(kept, *levels)
-    logs = materialize(key_answers(packed, chance).groupBy("chunk").agg(F.collect_list("bucket").alias("asked"), F.collect_list("logs").alias("logs")), "logs")
-    release(chance)
-    entries = cut.select("chunk", F.posexplode(F.arrays_zip("hashes", "trained")).alias("pos", "word")).select("chunk", "pos", F.col("word.hashes").alias("hash"), F.col("word.trained").alias("n"))
-    totals = materialize(entries.groupBy("hash").agg(F.sum("n").alias("c")).filter("c > 0"), "words")
-    ends = cut.agg(F.sum("ends")).first()[0] or 0
-    n_words, distinct = totals.agg(F.sum("c"), F.count("*")).first()
-    n, v = (n_words or 0) + ends, distinct + (ends > 0)
-    answers = materialize(entries.join(totals, "hash").groupBy("chunk").agg(F.collect_list("pos").alias("pos"), F.collect_list("c").alias("c")), "answers")
-    release(totals)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+GAIN = 3.0
+KAPPA = 5.0
+STEP = 256
+#: Of a context's hash, sent to its bucket, which holds some 10^5 contexts at any size.
+CONTEXT_BITS = 40
+END = np.uint64(0x2545F4914F6CDD1D)
+MARK = np.uint64(0x9E6C63D0876A9A47)
+ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Symbols for each byte of text, about.
+SYMBOLS = 0.16
+DOCUMENT, TEXT, TRAIN = range(3)  # columns of a chunk
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, start, group) as ``chunks.grouped``, equal keys in any order."""
+    order = np.argsort(key)
+    first = np.concatenate([np.ones(min(1, len(key)), bool), np.diff(key[order]) != 0])
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(first) - 1
+    return order, np.flatnonzero(first), group
+
+
+def quantized(p: np.ndarray) -> np.ndarray:
+    """Probabilities as 16-bit numbers."""
+    return np.minimum(np.rint(-np.log10(p) * STEP), 65535).astype(np.uint32)
+
+
+def restored(q: np.ndarray) -> np.ndarray:
+    return 10.0 ** (q.astype(np.float64) / -STEP)
+
+
+class Symbols:
+    """The symbols of a chunk's texts, one text after another."""
+
+    def __init__(self, rows: bytes):
+        self.table = thawed(rows)
+        data, begin = bytes_of(self.table.column(TEXT))
+        parts = [Words(data[begin[a] : begin[b]], begin[a : b + 1] - begin[a], lower=True) for a, b in passes(begin)]
+        words = np.concatenate([np.zeros(0, np.uint64), *[w.hash for w in parts]])
+        self.size = np.concatenate([np.zeros(0, np.int64), *[w.size for w in parts]]) + 1
+        self.first = np.cumsum(self.size) - self.size
+        self.owner = np.repeat(np.arange(len(self.size)), self.size)
+        self.hash = np.full(len(self.owner), END, np.uint64)
+        last = np.zeros(len(self.owner), bool)
+        last[self.first + self.size - 1] = True
+        self.hash[~last] = words
+        self.place = np.arange(len(self.owner)) - self.first[self.owner]
+        self.train = np.asarray(whole(self.table.column(TRAIN)), dtype=bool)[self.owner]
+        self.order, self.start, self.group = runs(self.hash)  # distinct symbols
+
+    def counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The distinct symbols, and how often each is in training texts."""
+        n = np.add.reduceat(self.train[self.order].astype(np.int64), self.start)
+        return self.hash[self.order][self.start], [n]
+
+
+class Walk:
+    """A chunk on its way through the levels: the probability of each symbol so far, and which contexts may be extended."""
+
+    def __init__(self, row: dict, buckets: int, n: int, v: int):
+        self.symbols = s = Symbols(row["rows"])
+        self.row, self.buckets = row, buckets
+        key, _ = s.counts()
+        self.seen = (placed(key, buckets, row["counts"], "u4") & FIRST_OFF)[s.group].astype(np.int64)
+        self.q = quantized((self.seen + 1.0) / (n + v + 1.0))
+        self.context = np.zeros(len(s.hash), np.uint64)
+        self.alive = np.ones(len(s.hash), bool)
+        self.level = 0
+
+    def questions(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of the next level: contexts, sorted, and by pair the symbol's tag, its training count, and its probability so far."""
+        s, k = self.symbols, self.level + 1
+        before = np.full(len(s.hash), MARK, np.uint64)
+        before[k:] = np.where(s.place[k:] >= k, s.hash[:-k], MARK)
+        self.context = mixed(self.context * np.uint64(31) + before)
+        self.at = np.flatnonzero(self.alive & (s.place >= k - 1))
+        context, symbol = self.context[self.at], s.hash[self.at]
+        order, start, self.pair = runs(mixed(context ^ (symbol * ODD)))
+        one = order[start]
+        n = np.add.reduceat(s.train[self.at][order].astype(np.int64), start) if len(start) else start
+        self.by_context = np.argsort(context[one], kind="stable")
+        one, n = one[self.by_context], n[self.by_context]
+        return context[one], [symbol[one] & np.uint64(0xFFFFFFFF), n, self.q[self.at][one]]
+
+    def advance(self) -> None:
+        """Take the next level's answers."""
+        key, _ = self.questions()
+        self.level += 1
+        told = placed(key, self.buckets, self.row[f"level{self.level}"], "u4")
+        found = np.empty(len(told), np.uint32)
+        found[self.by_context] = told
+        found = found[self.pair]
+        self.q[self.at] = found & 0xFFFF
+        goes_on = np.zeros(len(self.q), bool)
+        goes_on[self.at] = found >> 16 > 0
+        self.alive = np.append(False, goes_on[:-1]) & (self.symbols.place > 0)
+
+
+#: The highest bit of a count marks the first chunk that a symbol is answered to, so that sums count it once.
+FIRST_ON, FIRST_OFF = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
+
+
+def totals(key: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Reply: a symbol's count, marked for one of those who ask."""
+    order, start, group = runs(key)
+    out = np.add.reduceat(values[0][order].astype(np.int64), start)[group].astype(np.uint32)
+    out[order[start]] |= FIRST_ON
+    return out
+
+
+def decided(key: np.ndarray, values: list[np.ndarray]) -> np.ndarray:
+    """Reply: each pair's probability after the level's retained contexts, and in bit 16 whether its context and symbol may be a context."""
+    symbol, n, q = values
+    order, start, pair = runs(mixed(key ^ (symbol.astype(np.uint64) * ODD)))
+    times, one = np.add.reduceat(n[order].astype(np.int64), start), order[start]
+    before = restored(q[one])
+    c_order, c_start, context = runs(key[one])
+    total = np.add.reduceat(times[c_order], c_start)[context]
+    smooth = (times + KAPPA * before) / (total + KAPPA)
+    without = (np.maximum(times - 1, 0) + KAPPA * before) / (np.maximum(total - 1, 0) + KAPPA)
+    gain = np.add.reduceat((times * np.log(without / before))[c_order], c_start)[context]
+    retained = (total >= LEAST) & (gain >= GAIN)
+    out = np.where(retained, quantized(smooth), q[one]).astype(np.uint32) | ((times >= LEAST).astype(np.uint32) << np.uint32(16))
+    return out[pair]
+
+
+def sizes_of(counts: DataFrame) -> tuple[int, int]:
+    """(N, V): how many symbols the training texts have, and how many different ones."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = v = 0
+        for batch in batches:
+            for answer in batch.column("counts").to_pylist():
+                for x in answer:
+                    c = unsqueezed(x["answer"], x["size"], "<u4")
+                    c = (c & FIRST_OFF)[c >= FIRST_ON]
+                    n, v = n + int(c.sum(dtype=np.int64)), v + int((c > 0).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([v])], ["n", "v"])
+
+    found = counts.select("counts").mapInArrow(summed, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return found[0] or 0, found[1] or 0
+
+
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score; ``train`` says which rows are learned from, ``order`` how many symbols a context has at most."""
+    learned = F.coalesce(train, F.lit(False)) & F.col(id_col).isNotNull()
+    chunked = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), learned.alias("train")), "text", "chunks")
+    buckets = bucket_count(chunked, SYMBOLS)
+    counts = answers(asked(chunked, lambda row: Symbols(row["rows"]).counts(), ["u4"], buckets), ["u4"], totals, "counts")
+    n, v = sizes_of(counts)
+    table = settled(chunked, counts, "chunks")
+
+    def pairs(row: dict, level: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        walk = Walk(row, buckets, n, v)
+        for _ in range(level - 1):
+            walk.advance()
+        return walk.questions()
+
+    for level in range(1, order + 1):
+        questions = asked(table, lambda row, level=level: pairs(row, level), ["u4", "u4", "u2"], buckets, CONTEXT_BITS)
+        found = answers(questions, ["u4", "u4", "u2"], decided, f"level{level}")
+        table = settled(table, found, "chunks") if level < order else with_answers(table, found)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                c = np.zeros(row.n_hashes, np.int64)
-                if row.pos is not None:
-                    c[np.asarray(row.pos, dtype=np.int64)] = row.c
-                size, code = np.frombuffer(row.sizes, "<i8"), unsqueezed(row.codes, int(row.n_codes), "<u4")
-                owner = np.repeat(np.arange(len(size)), size)
-                total = np.bincount(owner, np.log10(c + 1.0)[code], len(size))
-                known = np.bincount(owner, (c > 0)[code], len(size)).astype(np.int64)
-                whole = np.log10(float(n) + (v + 1.0))
-                yield pd.DataFrame({
-                    "doc_id": pd.array(list(row.doc_ids), dtype="Int64"),
-                    "n_tokens": size + 1,
-                    "n_known": known + (ends > 0),
-                    "train_tokens": np.full(len(size), n, np.int64),
-                    "base_score": total + np.log10(ends + 1.0) - (size + 1) * whole,
-                    "score": text_scores(row),
-                })
-
-    sweep(docs.sparkSession)
-    both = cut.withColumn("n_hashes", F.size("hashes")).drop("hashes", "trained", "counts").join(answers, "chunk", "left").join(logs, "chunk", "left")
-    return both.mapInPandas(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for k in range(batch.num_rows):
+                walk = Walk({c: batch.column(c)[k].as_py() for c in batch.schema.names}, buckets, n, v)
+                for _ in range(order):
+                    walk.advance()
+                s = walk.symbols
+                by_text = lambda x: np.add.reduceat(x, s.first) if len(x) else np.zeros(0)
+                base = by_text(np.log10(walk.seen + 1.0)) - s.size * np.log10(n + v + 1.0)
+                columns = [whole(s.table.column(DOCUMENT)), s.size, by_text((walk.seen > 0).astype(np.int64)), np.full(len(s.size), n, np.int64), base, by_text(walk.q.astype(np.float64) / -STEP)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return table.mapInArrow(scored, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
