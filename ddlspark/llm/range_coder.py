@@ -1,191 +1,207 @@
-"""An adaptive context-mixing range coder for token ids, many independent blocks in lockstep.
-
-A block's next id is predicted three ways: by the id that last followed the two ids before it (order 2), by the one
-that last followed the id before it (order 1), and by adaptive frequencies of id ranges (order 0).  How often
-predictions of each confidence came true gives both context predictors their probabilities; their weights in the
-mixture are multiplied after each id by what each gave it.  The mixture is turned to whole frequencies and
-drives a carry-less range coder with 64-bit state and 16-bit output words.  Blocks start from nothing, so
-each can be decoded alone, and carry a CRC-32 of their ids.
+"""An adaptive context-mixing range coder for token ids; many lanes of one unit in lockstep.
+
+A unit of ids is dealt to lanes, each a run of consecutive ids; a step codes one id of every lane.  The lanes share the unit's models, so
+these learn from all lanes at each step.  An id is predicted by the one that last followed the two ids before it (order 2)
+and by the one that last followed the id before it (order 1), each with a confidence.  How often ids came true under both confidences
+together gives the shares of code space: of the first prediction, the second, and of all other ids, which are coded by their adaptive
+frequencies (order 0), made anew every few steps.  The shares drive a carry-less range coder per lane, with 64-bit state and 32-bit
+output words.  A unit starts from nothing, so each can be decoded alone.  Ids may be of any size up to 2^18.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 
-SLOTS = 10  # bits of a context's slot in the tables of a block
-BUCKETS = 32  # id ranges of the order-0 model
-STEP = 24  # what an id adds to its range's frequency
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-WORD, SCALE = np.uint64(16), np.uint64(16)
-SHARE = 0.97  # of the code space, at most, for both context predictions
-
-
-class _Mixer:
-    """The models of all blocks, one row each."""
-
-    def __init__(self, lanes: int, id_bits: int):
-        self.lane = np.arange(lanes)
-        self.low_bits = max(0, id_bits - 5)
-        self.held = [np.zeros(lanes << SLOTS, np.int32) for _ in range(2)]  # by context: (id + 1) * 8 + confidence
-        self.seen = [np.tile(np.array([0.4, 0.8]), (lanes * 8, 1)) for _ in range(2)]  # hits, tries by confidence
-        self.weight = np.full((2, lanes), 0.5)
-        self.cum = np.tile(np.arange(BUCKETS + 1, dtype=np.int32), (lanes, 1))
-        self.before = np.zeros((2, lanes), np.int64)
-        self.edges = np.arange(BUCKETS + 1)
-
-    def predict(self, lanes: int) -> None:
-        """Predictions for the first ``lanes`` blocks."""
+LANES, STEPS = 4096, 512  # of a unit, at most
+UNIT = LANES * STEPS
+PAIRS = 20  # bits of a slot of two ids
+SURE = 8  # confidences
+TOTAL = np.uint64(20)  # bits of the order-0 frequencies' sum
+SHARE = np.uint64(16)  # bits of the shares' sum
+RENEW = 16  # steps between new order-0 frequencies, at most
+FULL = np.uint64(1 << 32)
+HALF, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+HEAD = "<IIIII"
+
+
+class Models:
+    """Predictions of a unit, learned by encoder and decoder alike."""
+
+    def __init__(self, lanes: int, alphabet: int):
+        self.next = [np.full(1 << PAIRS, -1, np.int32), np.full(alphabet + 1, -1, np.int32)]
+        self.sure = [np.zeros(1 << PAIRS, np.uint8), np.zeros(alphabet + 1, np.uint8)]
+        self.before = np.full((2, lanes), alphabet, np.int64)
+        self.outcomes = np.tile(np.array([2.0, 1.0, 4.0]), (SURE * SURE * 2, 1))
+        self.outcomes[SURE * SURE :, 1] = 0  # both predict the same id
+        self.counts = np.zeros(alphabet, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.step, self.due = 0, 0
+
+    def renew(self) -> None:
+        """New order-0 frequencies and shares, if they are due."""
+        whole = self.outcomes.sum(axis=1)
+        shares = (self.outcomes[:, :2] * (65_000 / whole)[:, None]).astype(np.int64) + (self.outcomes[:, :2] > 0)
+        self.first, self.second = shares[:, 0], shares[:, 1]
+        if self.step >= self.due:
+            if self.waiting:
+                self.counts += np.bincount(np.concatenate(self.waiting), minlength=len(self.counts))
+            self.waiting = []
+            room = (1 << int(TOTAL)) - len(self.counts)
+            self.cum = np.concatenate([[0], np.cumsum(1 + self.counts * room // max(1, int(self.counts.sum())))])
+            self.cum[-1] = 1 << int(TOTAL)
+            self.due = self.step + min(RENEW, max(1, self.step))
+            self.table = None
+        self.step += 1
+
+    def predict(self, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the shares of the first and of both predictions, for the first ``lanes`` lanes."""
         one, two = self.before[0, :lanes], self.before[1, :lanes]
-        base = self.lane[:lanes] << SLOTS
-        mask = (1 << SLOTS) - 1
-        self.slot = [base + ((one * 40503 + two * 30011 + (one >> 7) + (two >> 5)) & mask), base + ((one * 25173 + (one >> 9)) & mask)]
-        held = [h[s] for h, s in zip(self.held, self.slot, strict=True)]
-        self.id = [(h >> 3) - 1 for h in held]
-        self.sure = [h & 7 for h in held]
-        self.state = [(self.lane[:lanes] << 3) + h for h in self.sure]
-        rate = [n[s] for n, s in zip(self.seen, self.state, strict=True)]
-        self.rate = [np.where(i >= 0, r[:, 0] / r[:, 1], 0.0) for i, r in zip(self.id, rate, strict=True)]
-        mass2, mass1 = self.weight[0, :lanes] * self.rate[0], self.weight[1, :lanes] * self.rate[1]
-        same = self.id[0] == self.id[1]
-        mass2 = np.where(same, mass2 + mass1, mass2)
-        first = np.where(self.id[0] >= 0, (mass2 * (SHARE * 65536)).astype(np.int64) + 1, 0)
-        second = np.where((self.id[1] >= 0) & ~same, (mass1 * (SHARE * 65536)).astype(np.int64) + 1, 0)
-        self.first, self.both = first, first + second
-
-    def held_with(self, k: int, sure: np.ndarray) -> np.ndarray:
-        return ((self.id[k] + 1) << 3) + sure
-
-    def ranges(self, rows: np.ndarray) -> np.ndarray:
-        """Scaled cumulative frequencies of the id ranges for these blocks, in the space left by the predictions."""
-        room = 65536 - self.both[rows]
-        cum = self.cum[rows].astype(np.int64)
-        return self.both[rows, None] + self.edges + cum * (room - BUCKETS)[:, None] // cum[:, -1:]
-
-    def learn(self, ids: np.ndarray, escaped: np.ndarray) -> None:
-        lanes = len(ids)
-        odds = []
+        self.slot = [((one * 0x9E3779B1 + two * 0x85EBCA6B) >> 7) & ((1 << PAIRS) - 1), one]
+        self.id = [x.take(s) for x, s in zip(self.next, self.slot, strict=True)]
+        self.conf = [x.take(s) for x, s in zip(self.sure, self.slot, strict=True)]
+        self.state = self.conf[0].astype(np.int64) * SURE + self.conf[1] + (self.id[0] == self.id[1]) * (SURE * SURE)
+        first = self.first.take(self.state)
+        return first, first + self.second.take(self.state)
+
+    def learn(self, ids: np.ndarray, outcome: np.ndarray, escaped: np.ndarray) -> None:
+        """``outcome``: 0 or 1 for the prediction that came true, else 2."""
+        self.outcomes += np.bincount(self.state * 3 + outcome, minlength=self.outcomes.size).reshape(-1, 3)
+        self.waiting.append(escaped)
         for k in range(2):
             hit = self.id[k] == ids
-            there = self.id[k] >= 0
-            odds.append(np.where(hit, self.rate[k], (1 - self.rate[k]) * 2.0**-12) + 1e-9)
-            cell = self.state[k]
-            self.seen[k][cell, 0] += hit
-            self.seen[k][cell, 1] += there
-            sure = self.sure[k]
-            kept = hit | (sure > 2)
-            self.held[k][self.slot[k]] = np.where(kept, self.held_with(k, np.where(hit, np.minimum(sure + 1, 7), sure >> 1)), ((ids + 1) << 3) + 1)
-        w2, w1 = self.weight[0, :lanes] * odds[0], self.weight[1, :lanes] * odds[1]
-        share = np.clip(w2 / (w2 + w1), 0.05, 0.95)
-        self.weight[0, :lanes], self.weight[1, :lanes] = share, 1 - share
-        rows = np.flatnonzero(escaped)
-        self.cum[rows] += (self.edges > (ids[rows] >> self.low_bits)[:, None]) * np.int32(STEP)
-        self.before[1, :lanes] = self.before[0, :lanes]
-        self.before[0, :lanes] = ids
-
-
-def _narrow(low, size, code, words, at, limit):
-    """Drop leading 16-bit words that are settled; written to ``words`` when encoding, fetched from it when decoding."""
-    active = np.arange(len(low))
-    while len(active):
-        lo, sz = low[active], size[active]
-        settled = (lo ^ (lo + sz)) < TOP
-        small = ~settled & (sz < BOTTOM)
-        go = settled | small
-        if not go.any():
-            return
-        active, lo, sz, small = active[go], lo[go], sz[go], small[go]
-        sz = np.where(small, (~lo + np.uint64(1)) & (BOTTOM - np.uint64(1)), sz)
-        if code is None:
-            words[active, at[active]] = lo >> TOP_SHIFT
-        else:
-            code[active] = (code[active] << WORD) | words[active, np.minimum(at[active], limit)]
-        at[active] += 1
-        low[active], size[active] = lo << WORD, sz << WORD
-
-
-TOP_SHIFT = np.uint64(48)
-
-
-def encode_blocks(ids: np.ndarray, lengths: np.ndarray, id_bits: int = 16) -> list[bytes]:
-    """``ids``: one row a block, of which the first ``lengths`` count; lengths never grow from row to row."""
-    lanes, steps = ids.shape
-    mixer = _Mixer(lanes, id_bits)
+            up = np.minimum(self.conf[k] + 1, SURE - 1)
+            keep = hit | (self.conf[k] > 1)
+            self.next[k][self.slot[k]] = np.where(keep, self.id[k], ids)
+            self.sure[k][self.slot[k]] = np.where(hit, up, np.where(keep, self.conf[k] >> 1, 1))
+        self.before[1, : len(ids)] = self.before[0, : len(ids)]
+        self.before[0, : len(ids)] = ids
+
+    def found(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose order-0 ranges the values lie."""
+        if self.table is None:
+            self.table = np.repeat(np.arange(len(self.counts), dtype=np.int32), np.diff(self.cum))
+        return self.table.take(value).astype(np.int64)
+
+
+def narrowed(low: np.ndarray, size: np.ndarray, some: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray] | None:
+    """Lanes of ``some`` whose range is under 32 bits, with their settled words; ranges that straddle two words are cut. They grow by a word."""
+    lanes = np.flatnonzero(size < FULL) if isinstance(some, slice) else some[size[some] < FULL]
+    if not len(lanes):
+        return None
+    lo, sz = low[lanes], size[lanes]
+    word = lo >> HALF
+    sz = np.where(word != (lo + (sz - np.uint64(1))) >> HALF, FULL - (lo & LOW), sz)
+    low[lanes], size[lanes] = lo << HALF, sz << HALF
+    return lanes, word
+
+
+def columns_of(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a unit of ``n`` ids; only the last lane may be shorter."""
+    steps = max(1, -(-n // LANES)) if n >= LANES * STEPS else max(1, min(STEPS, n))
+    return max(1, -(-n // steps)), steps
+
+
+def encode_unit(ids: np.ndarray) -> bytes:
+    """``ids``: at most UNIT of them, from 0 on."""
+    n = len(ids)
+    lanes, steps = columns_of(n)
+    alphabet = int(ids.max(initial=0)) + 1
+    if not 0 <= int(ids.min(initial=0)) or alphabet > 1 << 18:
+        raise ValueError("ids must be from 0 to 2^18 - 1")
+    padded = np.zeros(lanes * steps, np.int64)
+    padded[:n] = ids
+    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    short = steps - (lanes * steps - n)  # ids of the last lane
+    models = Models(lanes, alphabet)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    words, at = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
-    bits = np.uint64(mixer.low_bits)
-    alive = np.searchsorted(-lengths, -np.arange(steps), "left")
-    for t in range(steps):
-        n = alive[t]
-        mixer.predict(n)
-        x = columns[t, :n]
-        first = mixer.id[0] == x
-        second = ~first & (mixer.id[1] == x)
-        escaped = ~(first | second)
-        begin = np.where(second, mixer.first, 0)
-        width = np.where(first, mixer.first, mixer.both - mixer.first)
-        rows = np.flatnonzero(escaped)
-        if len(rows):
-            edges, bucket, k = mixer.ranges(rows), x[rows] >> mixer.low_bits, np.arange(len(rows))
-            begin[rows] = edges[k, bucket]
-            width[rows] = edges[k, bucket + 1] - begin[rows]
-        lo, sz = low[:n], size[:n]
-        unit = sz >> SCALE
-        lo += unit * begin.astype(np.uint64)
-        sz[:] = unit * width.astype(np.uint64)
-        _narrow(lo, sz, None, words, at, 0)
-        if len(rows):
-            unit = sz[rows] >> bits
-            lo[rows] += unit * (x[rows] & ((1 << mixer.low_bits) - 1)).astype(np.uint64)
-            sz[rows] = unit
-            _narrow(lo, sz, None, words, at, 0)
-        mixer.learn(x, escaped)
-    for k in range(4):
-        words[np.arange(lanes), at + k] = (low >> np.uint64(48 - 16 * k)).astype(np.uint16)
-    return [words[i, : at[i] + 4].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode_blocks(blocks: list[bytes], lengths: np.ndarray, id_bits: int = 16) -> np.ndarray:
-    """The rows that ``encode_blocks`` was given; zeros beyond each length."""
-    lanes, steps = len(blocks), int(lengths.max(initial=0))
-    limit = max((len(b) // 2 for b in blocks), default=0)
-    words = np.zeros((lanes, limit + 1), np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    mixer = _Mixer(lanes, id_bits)
+    words, at = np.zeros((lanes, 2 * steps + 2), np.uint32), np.zeros(lanes, np.int64)
+
+    def put(some: np.ndarray | slice) -> None:
+        out = narrowed(low, size, some)
+        if out:
+            words[out[0], at[out[0]]] = out[1]
+            at[out[0]] += 1
+
+    for t in range(steps if n else 0):
+        m = lanes if t < short else lanes - 1
+        models.renew()
+        first, both = models.predict(m)
+        x = columns[t, :m]
+        one, two = models.id[0] == x, models.id[1] == x
+        outcome = np.where(one, 0, np.where(two, 1, 2))
+        begin = np.where(one, 0, np.where(two, first, both)).astype(np.uint64)
+        end = np.where(one, first, np.where(two, both, 1 << 16)).astype(np.uint64)
+        unit = size[:m] >> SHARE
+        low[:m] += unit * begin
+        size[:m] = unit * (end - begin)
+        put(slice(m))
+        rest = np.flatnonzero(outcome == 2)
+        own = x[rest]
+        if len(rest):
+            begin = models.cum.take(own).astype(np.uint64)
+            width = models.cum.take(own + 1).astype(np.uint64) - begin
+            unit = size[rest] >> TOTAL
+            low[rest] += unit * begin
+            size[rest] = unit * width
+            put(rest)
+        models.learn(x, outcome, own)
+    words[np.arange(lanes), at] = (low + LOW) >> HALF  # a number of the range whose lower half is 0
+    at += 1
+    coded = b"".join([words[k, :z].astype("<u4").tobytes() for k, z in enumerate(at.tolist())])
+    sizes = zlib.compress(at.astype("<u2").tobytes())
+    return struct.pack(HEAD, n, lanes, steps, alphabet, len(sizes)) + sizes + coded
+
+
+def decode_unit(data: bytes) -> np.ndarray:
+    """The ids that ``encode_unit`` was given.  ``data`` that is no unit raises ValueError or gives other ids; checksums tell."""
+    n, lanes, steps, alphabet, packed = struct.unpack_from(HEAD, data)
+    base = struct.calcsize(HEAD)
+    try:
+        sizes = np.frombuffer(zlib.decompress(data[base : base + packed]), "<u2").astype(np.int64)
+        flat = np.frombuffer(data, "<u4", int(sizes.sum()), base + packed)
+    except (zlib.error, ValueError) as e:
+        raise ValueError("not a unit of ids") from e
+    limit = int(sizes.max(initial=0)) + 2
+    words = np.zeros((lanes, limit), np.uint64)
+    words[np.repeat(np.arange(lanes), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    models = Models(lanes, alphabet)
+    short = steps - (lanes * steps - n)
     low, size = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    code, at = np.zeros(lanes, np.uint64), np.full(lanes, 4, np.int64)
-    for k in range(4):
-        code = (code << WORD) | words[:, min(k, limit)]
+    code, at = (words[:, 0] << HALF) | words[:, 1], np.full(lanes, 2, np.int64)
     out = np.zeros((steps, lanes), np.int64)
-    bits = np.uint64(mixer.low_bits)
-    alive = np.searchsorted(-lengths, -np.arange(steps), "left")
-    for t in range(steps):
-        n = alive[t]
-        mixer.predict(n)
-        lo, sz, co = low[:n], size[:n], code[:n]
-        unit = sz >> SCALE
-        value = np.minimum((co - lo) // unit, np.uint64(65535)).astype(np.int64)
-        first, escaped = value < mixer.first, value >= mixer.both
-        begin = np.where(first, 0, mixer.first)
-        width = np.where(first, mixer.first, mixer.both - mixer.first)
-        x = np.where(first, mixer.id[0], mixer.id[1]).astype(np.int64)
-        rows = np.flatnonzero(escaped)
-        if len(rows):
-            edges, k = mixer.ranges(rows), np.arange(len(rows))
-            bucket = (edges[:, 1:] <= value[rows, None]).sum(axis=1)
-            begin[rows] = edges[k, bucket]
-            width[rows] = edges[k, bucket + 1] - begin[rows]
-        lo += unit * begin.astype(np.uint64)
-        sz[:] = unit * width.astype(np.uint64)
-        _narrow(lo, sz, co, words, at, limit)
-        if len(rows):
-            unit = sz[rows] >> bits
-            rest = (co[rows] - lo[rows]) // unit
-            lo[rows] += unit * rest
-            sz[rows] = unit
-            x[rows] = (bucket << mixer.low_bits) + rest.astype(np.int64)
-            _narrow(lo, sz, co, words, at, limit)
-        out[t, :n] = x
-        mixer.learn(x, escaped)
-    return out.T
+
+    def take(some: np.ndarray | slice) -> None:
+        moved = narrowed(low, size, some)
+        if moved:
+            k = moved[0]
+            code[k] = (code[k] << HALF) | words[k, np.minimum(at[k], limit - 1)]
+            at[k] += 1
+
+    for t in range(steps if n else 0):
+        m = lanes if t < short else lanes - 1
+        models.renew()
+        first, both = models.predict(m)
+        unit = size[:m] >> SHARE
+        value = np.minimum((code[:m] - low[:m]) // unit, np.uint64(65535)).astype(np.int64)
+        one, two = value < first, value < both
+        outcome = np.where(one, 0, np.where(two, 1, 2))
+        begin = np.where(one, 0, np.where(two, first, both)).astype(np.uint64)
+        end = np.where(one, first, np.where(two, both, 1 << 16)).astype(np.uint64)
+        low[:m] += unit * begin
+        size[:m] = unit * (end - begin)
+        take(slice(m))
+        x = np.where(one, models.id[0], models.id[1]).astype(np.int64)
+        rest = np.flatnonzero(outcome == 2)
+        if len(rest):
+            unit = size[rest] >> TOTAL
+            x[rest] = own = models.found(np.minimum((code[rest] - low[rest]) // unit, np.uint64((1 << 20) - 1)).astype(np.int64))
+            begin = models.cum.take(own).astype(np.uint64)
+            low[rest] += unit * begin
+            size[rest] = unit * (models.cum.take(own + 1).astype(np.uint64) - begin)
+            take(rest)
+        out[t, :m] = x
+        models.learn(x, outcome, x[rest])
+    return out.T.ravel()[:n] if n else np.zeros(0, np.int64)

@@ -1,9 +1,9 @@
-"""Token-ID files (operator 2): documents' token ids, entropy-coded in independently reset, checksummed blocks.
+"""Token-ID files (operator 2): documents' token ids, entropy-coded in independently reset, checksummed units.
 
 ``write`` sorts documents by id over the cluster and writes segments in that order; ``read`` gives the ids back.
 A segment is a byte string: a magic word, a zlib-packed index (document ids, nulls marked; token counts; the number
-of blocks and their lengths in tokens and bytes; a CRC-32 of each block's ids), and the blocks of ``range_coder``.
-It holds whole documents, about ``SEGMENT_TOKENS`` tokens, and can be decoded by itself; so can each block.  Segments
+of units and their lengths in tokens and bytes; a CRC-32 of each unit's ids), and the units of ``range_coder``.
+It holds whole documents, about ``SEGMENT_TOKENS`` tokens, and can be decoded by itself; so can each unit.  Segments
 are rows of Parquet files, because Spark's writers reach any shared store; ``part`` and ``seq`` order them.
 
 Edge cases: a null or empty text is the end id alone; a null id comes first; repeated rows are written one by one,
@@ -25,35 +25,27 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._work import texts, work_dir
-from .range_coder import decode_blocks, encode_blocks
+from .range_coder import UNIT, decode_unit, encode_unit
 from .tokens import ByteLevelIds, ids_of
 
-MAGIC = b"CMR1"
-SEGMENT_TOKENS = 2_000_000
-#: Tokens of a block: as many as keep about MANY blocks in a segment busy, within these bounds.
-LEAST_BLOCK, MOST_BLOCK, MANY = 256, 2048, 1024
+MAGIC = b"CMR2"
+SEGMENT_TOKENS = UNIT
 SCHEMA = "part int, seq int, first_id long, n_docs long, n_tokens long, segment binary"
 
 
 def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment of documents with ``counts`` ids each, all ids one after another."""
-    block = int(np.clip(-(-len(ids) // MANY), LEAST_BLOCK, MOST_BLOCK))
-    n = -(-len(ids) // block)
-    lengths = np.full(n, block, np.int64)
-    lengths[-1:] = len(ids) - (n - 1) * block
-    rows = np.zeros((n, block), np.int64)
-    rows.ravel()[: len(ids)] = ids
-    coded = encode_blocks(rows, lengths)
-    sums = [zlib.crc32(ids[k * block : (k + 1) * block].astype("<u4").tobytes()) for k in range(n)]
+    parts = [ids[k : k + UNIT] for k in range(0, len(ids), UNIT)]
+    coded = [encode_unit(p) for p in parts]
     null = np.array([d is None for d in doc_ids], np.uint8)
     index = zlib.compress(
-        struct.pack("<QQ", len(doc_ids), n)
+        struct.pack("<QQ", len(doc_ids), len(parts))
         + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
         + null.tobytes()
         + counts.astype("<i8").tobytes()
-        + lengths.astype("<u4").tobytes()
+        + np.array([len(p) for p in parts], "<u4").tobytes()
         + np.array([len(c) for c in coded], "<u4").tobytes()
-        + np.array(sums, "<u4").tobytes()
+        + np.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], "<u4").tobytes()
     )
     return MAGIC + struct.pack("<I", len(index)) + index + b"".join(coded)
 
@@ -70,16 +62,13 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         fields.append(np.frombuffer(index, kind, count, at))
         at += fields[-1].nbytes
     doc_ids, null, counts, lengths, sizes, sums = fields
-    ends = 8 + size + np.cumsum(sizes.astype(np.int64))
-    blocks = [segment[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-    rows = decode_blocks(blocks, lengths.astype(np.int64))
-    ids = np.concatenate([r[:k] for r, k in zip(rows, lengths, strict=True)]) if n else np.zeros(0, np.int64)
-    at = 0
-    for k, (length, want) in enumerate(zip(lengths.tolist(), sums.tolist(), strict=True)):
-        if zlib.crc32(ids[at : at + length].astype("<u4").tobytes()) != want:
-            raise ValueError(f"block {k} does not match its checksum")
-        at += length
-    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], counts, ids
+    end, ids = 8 + size, [np.zeros(0, np.int64)]
+    for k, (length, bytes_, want) in enumerate(zip(lengths.tolist(), sizes.tolist(), sums.tolist(), strict=True)):
+        ids.append(decode_unit(segment[end : end + bytes_]))
+        end += bytes_
+        if len(ids[-1]) != length or zlib.crc32(ids[-1].astype("<u4").tobytes()) != want:
+            raise ValueError(f"unit {k} does not match its checksum")
+    return [None if z else int(d) for d, z in zip(doc_ids, null, strict=True)], counts, np.concatenate(ids)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -115,7 +104,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32; ``with_ids`` adds ``ids`` as little-endian uint32 bytes."""
     files = spark.read.schema(SCHEMA).parquet(path)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    # one small row a segment of millions of tokens, without its bytes
+    # one small row a segment of millions of tokens, without its bytes: 10^7 of them, some 10^13 tokens, are sorted in one task
     begin = files.select("part", "seq", "n_tokens").withColumn("begin", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).drop("n_tokens")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
