@@ -2,12 +2,14 @@
 
 Samples become frames of twelve pitch-class energies; an integral image over frames and classes gives the sums of any
 rectangle; sixteen filters, differences of rectangle sums, quantized to two bits, make one 32-bit integer a frame.
-Recordings that share integers are aligned by the histogram of frame offsets; at the best offset the bit errors
-of all overlapping integers decide.  Equal fingerprints are one class: only representatives are compared, and
-members are listed, so copies are never paired with each other.
-
-Edge cases: a null recording, or one too short for a fingerprint, has an empty one and matches nothing; silence is all zero bits
-and is a class like any other; repeated rows are members of one class; an empty table gives no rows; other columns are ignored.
+Recordings meet where their integers change in the same way: a seed is two integers that follow each other, however long the first
+one lasts, so silence or a held note is one seed and not one a frame.  Seeds at one frame offset are added up, in a histogram of offsets;
+at the best offset the bit errors of all overlapping integers decide.  Equal fingerprints are one class: only representatives are
+compared, and members are listed, so copies are never paired with each other.
+
+Edge cases: a null recording, or one too short for a fingerprint, has an empty one and matches nothing; a recording of one integer all along, as
+silence is, meets only others of that integer; rows with a null id are members and representatives like others, with a null id; repeated rows and ids are members of
+one class, each listed; of offsets with equal votes the largest counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ CLASSES = 12
 SPAN = 8  # frames that a filter reaches
 #: Shared integers at one offset that make a candidate, and the share of differing bits that a match may have.
 VOTES, ERRORS = 3, 0.2
+#: Of a clip's noise, beside a tune's amplitude of 1.
+NOISE = 0.02
 #: Frames that two recordings must share, unless one of them is shorter.
 OVERLAP = 32
 PRINT = "array<int>"
@@ -92,38 +96,84 @@ def fingerprints(samples: Column) -> Column:
     return of(samples)
 
 
-def melody(values: Column) -> Column:
-    """PCM samples of a tune of one note a value, its pitch by the value: for tables that hold no recordings."""
+def tune(values: np.ndarray) -> np.ndarray:
+    """PCM samples of a tune of one note a value, its pitch by the value."""
+    time = np.arange(2 * FRAME) / RATE
+    notes = np.floor(np.nan_to_num(np.clip(values, -1, 1)) * 60 + 24) % 48
+    return np.sin(2 * np.pi * 220.0 * 2 ** (notes / 12)[:, None] * time).ravel()
 
-    @F.pandas_udf("array<float>")
-    def play(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        time = np.arange(FRAME) / RATE
-        notes = np.array([np.sin(2 * np.pi * 220.0 * 2 ** (k / 12) * time) for k in range(24)], np.float32)
-        for batch in batches:
-            yield pd.Series([notes[np.clip(np.floor(np.asarray(v, float) * 40 + 12), 0, 23).astype(int)].ravel() if v is not None and len(v) else np.zeros(0, np.float32) for v in batch], dtype=object)
 
-    return play(values)
+def played(values: Column, clip_of: Column | None = None) -> Column:
+    """Fingerprints of the tunes of ``values`` (array of numbers), for tables that hold no recordings; a tune never leaves its task.
+
+    With ``clip_of``, a number for each row: of a noisy clip, without the first frames and the last ones, that the number draws.
+    """
+
+    @F.pandas_udf(PRINT)
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch, seeds in batches:
+            out = []
+            for x, seed in zip(batch, seeds, strict=True):
+                samples = tune(np.asarray(x, float)) if x is not None and len(x) else np.zeros(0)
+                if not pd.isna(seed) and len(samples):
+                    rng = np.random.default_rng(abs(int(seed)))
+                    first = int(rng.integers(5, 40)) * HOP
+                    samples = samples[first : len(samples) - int(rng.integers(5, 40)) * HOP]
+                    samples = samples + rng.normal(size=len(samples)) * NOISE
+                out.append(fingerprint(samples))
+            yield pd.Series(out, dtype=object)
+
+    return of(values, F.lit(None).cast("long") if clip_of is None else clip_of)
+
+
+def classes_of(prints: DataFrame, id_col: str, print_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, print, class) with a fingerprint, and the classes (class, rep, print)."""
+    rows = prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(print_col), F.array().cast(PRINT)).alias("print"))
+    rows = materialize(rows.filter(F.size("print") > 0).withColumn("class", F.xxhash64("print")), name)
+    return rows, materialize(rows.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("print").alias("print")), name)
+
+
+def seeds(classes: DataFrame) -> DataFrame:
+    """(class, at, seed): where a fingerprint's integer changes, and the two integers."""
+    last = F.size("print") - 1
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda k: F.get("print", k) != F.get("print", k - 1))
+    changes = F.transform(at, lambda k: F.struct(k.alias("at"), F.xxhash64(F.get("print", k - 1), F.get("print", k)).alias("seed")))
+    alone = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.get("print", F.lit(0))).alias("seed")))
+    return classes.select("class", F.explode(F.when(F.size(changes) > 0, changes).otherwise(alone)).alias("x")).select("class", "x.at", "x.seed")
 
 
 def search(prints: DataFrame, queries: Column, id_col: str = "id", print_col: str = "print") -> DataFrame:
-    """(kind, id, other, offset, bit_errors): ``pair`` rows of matching classes, ``member`` rows of each further member.
+    """``aligned`` for the rows of ``prints`` for which ``queries`` against all rows, without pairs of a class with itself."""
+    return aligned(prints.filter(queries), prints, id_col, print_col, False)
+
+
+def aligned(asking: DataFrame, known: DataFrame, id_col: str = "id", print_col: str = "print", same: bool = True) -> DataFrame:
+    """(kind, id, other, offset, bit_errors): ``pair`` rows of matching classes; ``member`` rows of each further member of a class of ``known``, ``asker`` rows of one of ``asking``.
 
-    ``queries`` says which rows of ``prints`` ask; all rows answer.  A pair's id is the class of an asking row; offset is how many frames
-    the other one lies later; bit_errors the share of differing bits where both are.
+    A pair's id is the representative of a class of ``asking``, other one of ``known``; offset is how many frames the other one lies later; bit_errors the
+    share of differing bits where both are.  ``same``: equal fingerprints of both sides are pairs too.
     """
-    rows = prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(print_col), F.array().cast(PRINT)).alias("print"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    rows = materialize(rows.filter(F.size("print") > 0).withColumn("class", F.xxhash64("print")), "prints")
-    classes = materialize(rows.groupBy("class").agg(F.min("id").alias("rep"), F.max("asks").alias("asks"), F.any_value("print").alias("print")), "classes")
-    places = classes.select("class", "asks", F.posexplode("print").alias("at", "word"))
-    asked = places.filter("asks").select(F.col("class").alias("a"), F.col("at").alias("ta"), "word")
-    found = asked.join(places.select(F.col("class").alias("b"), F.col("at").alias("tb"), "word"), "word").filter("a <> b")
-    votes = found.groupBy("a", "b", (F.col("tb") - F.col("ta")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= VOTES)
+    a_rows, a = classes_of(asking, id_col, print_col, "asking")
+    b_rows, b = classes_of(known, id_col, print_col, "known")
+    left, right = seeds(a).toDF("a", "ta", "seed"), seeds(b).toDF("b", "tb", "seed")
+    # a seed counts once for an offset of two classes, so what meets is summed at once
+    found = left.join(right, "seed")
+    if not same:
+        found = found.filter("a <> b")
+    least = seeds(a).groupBy("class").agg(F.count("*").alias("asked")).withColumnRenamed("class", "a")
+    votes = found.groupBy("a", "b", (F.col("tb") - F.col("ta")).alias("offset")).agg(F.count("*").alias("votes")).join(least, "a").filter(F.col("votes") >= F.least(F.lit(VOTES), F.col("asked")))
     best = votes.groupBy("a", "b").agg(F.max(F.struct("votes", F.col("offset"))).alias("best")).select("a", "b", "best.offset")
-    x, y = classes.select(F.col("class").alias("a"), F.col("rep").alias("id"), F.col("print").alias("pa")), classes.select(F.col("class").alias("b"), F.col("rep").alias("other"), F.col("print").alias("pb"))
+    x, y = a.toDF("a", "id", "pa"), b.toDF("b", "other", "pb")
     low, high = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("pa"), F.size("pb") - F.col("offset"))
     pairs = best.join(x, "a").join(y, "b").withColumn("n", high - low).filter(F.col("n") >= F.least(F.lit(OVERLAP), F.size("pa"), F.size("pb")))
     both = F.zip_with(F.slice("pa", low + 1, F.col("n")), F.slice("pb", low + F.col("offset") + 1, F.col("n")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     wrong = F.aggregate(both, F.lit(0), lambda s, v: s + v) / (32 * F.col("n"))
-    matched = pairs.withColumn("bit_errors", wrong).filter(F.col("bit_errors") <= ERRORS).select(F.lit("pair").alias("kind"), "id", "other", "offset", "bit_errors")
-    members = rows.join(classes.select("class", "rep"), "class").filter("id <> rep").select(F.lit("member").alias("kind"), F.col("rep").alias("id"), F.col("id").alias("other"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_errors"))
-    return matched.unionByName(members)
+    out = pairs.withColumn("bit_errors", wrong).filter(F.col("bit_errors") <= ERRORS).select(F.lit("pair").alias("kind"), "id", "other", "offset", "bit_errors")
+    for kind, rows, classes in (("member", b_rows, b), ("asker", a_rows, a)):
+        if kind == "asker" and not same:
+            continue
+        # each row of a class but one of its representative's
+        others = rows.groupBy("class", "id").agg(F.count("*").alias("n")).join(classes.select("class", "rep"), "class")
+        others = others.withColumn("n", F.col("n") - F.col("id").eqNullSafe(F.col("rep")).cast("int")).filter("n > 0").select("rep", "id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+        out = out.unionByName(others.select(F.lit(kind).alias("kind"), F.col("rep").alias("id"), F.col("id").alias("other"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_errors")))
+    return out

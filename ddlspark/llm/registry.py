@@ -44,7 +44,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.similar_groups(table(spark, sf_dir, "documents")).drop("key", "group")
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +64,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no recordings: each embedding is played as a tune, and every fiftieth is looked for among all."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), audio.melody(F.col("embedding")).alias("samples"))
-    prints = vectors.select("id", audio.fingerprints(F.col("samples")).alias("print"))
-    return audio.search(prints, F.col("id") % 50 == 0)
+    """The tables hold no recordings: each embedding is played as a tune, and a noisy clip of every fiftieth is looked for among all."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    known = vectors.select("id", audio.played(F.col("embedding")).alias("print"))
+    clips = vectors.filter("id % 50 = 0").select("id", audio.played(F.col("embedding"), F.col("id")).alias("print"))
+    return audio.aligned(clips, known)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
