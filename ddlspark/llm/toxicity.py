@@ -8,7 +8,8 @@ expected number of toxic words, from which a logistic regression gives the score
 half or more are the offending spans, with their character offsets.
 
 Fitting takes a bounded sample of labelled rows: at most ``TRAIN_DOCS`` of each class count features, at most
-``FIT_DOCS`` of each class fit the weights, picked by a hash of the id.  Scoring reads whole texts.
+``FIT_DOCS`` of each class fit the weights, picked by a hash of the id.  Their whole texts are read, but no text goes to the driver: it gets the lexicon,
+the segments in which lexicon features are (others only as numbers of segments), and two numbers a document.  Scoring reads whole texts.
 
 Edge cases: null and empty texts have no words and get the score of zero expected toxic words; null labels and
 labels without a document are not used, and contradicting rows of one id count one by one; without rows of both
@@ -27,18 +28,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._work import materialize, release
+from .words import batches_of
+
 TRAIN_DOCS = 15_000
 FIT_DOCS = 900
-#: Features that are kept at most, by their likelihood ratio.
-LEXICON = 5_000
 #: Share of the documents with a feature that must be toxic.
 PURE = 0.8
 PREFIXES = (4, 5, 6)
 SEGMENT = 64
 STEPS = 150
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Words times documents that a lockstep pass holds at most.
-CELLS = 2_000_000
+CELLS = 150_000
 WORD = re.compile(r"[^\W\d_]+")
 SPANS = "score double, spans array<struct<start:int,end:int,probability:double>>"
 
@@ -75,6 +77,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
     picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for k in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    train = materialize(train, "labelled")
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     every = known.groupBy("toxic").count().collect()
     totals = {r["toxic"]: r["count"] for r in every}
@@ -82,48 +85,76 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> M
     if not (n.get(0) and n.get(1)):
         return Model(prior=prior)
     counts = train.select("toxic", F.explode(document_features(F.col("text"))).alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = materialize(counts, "features")
     a, b, rate = F.col("a"), F.col("b"), n[1] / (n[0] + n[1])
     both = a + b
     part = lambda x, share: F.when(x > 0, x * F.log(x / (both * share))).otherwise(0.0)
     scored = counts.filter((a >= 2) & (a > both * rate)).withColumn("g", 2 * (part(a, rate) + part(b, 1 - rate)))
     tested = max(2, counts.count())
-    kept = scored.filter((F.col("g") > 2 * np.log(tested) + 2) & (a >= PURE * both)).orderBy(F.desc("g"), "feature").limit(LEXICON).collect()
+    kept = scored.filter((F.col("g") > 2 * np.log(tested) + 2) & (a >= PURE * both)).orderBy(F.desc("g"), "feature").collect()
     model = Model(lexicon={r["feature"]: k for k, r in enumerate(kept)}, prior=prior)
-    rows = [train.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).select("toxic", "text").collect() for k in (0, 1)]
-    fit_chain(model, [(r["toxic"], r["text"]) for k in rows for r in k])
-    fit_logistic(model, [(r["toxic"], r["text"]) for k in rows for r in k], prior)
+    chosen = [train.filter(F.col("toxic") == k).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS) for k in (0, 1)]
+    rows = train.join(F.broadcast(chosen[0].unionByName(chosen[1]).distinct()), "doc_id").select("toxic", "text")
+    fit_chain(model, segments(rows, model.lexicon))
+    fit_logistic(model, summaries(rows, model), prior)
+    release(train, counts)
     return model
 
 
-def fit_chain(model: Model, rows: list[tuple[int, str]]) -> None:
-    """Gradient ascent on the mean log likelihood of the labelled words, over segments of SEGMENT words."""
-    hits, label = [], []
-    for toxic, text in rows:
-        found = [[model.lexicon[f] for f in features(w) if f in model.lexicon] for w in WORD.findall(text.lower())]
-        for k in range(0, len(found), SEGMENT):
-            hits.append(found[k : k + SEGMENT])
-            label.append(toxic)
-    lanes, n = len(hits), len(model.lexicon)
+def segments(rows: DataFrame, lexicon: dict[str, int]) -> list[tuple[int, int, list[int], list[int], int]]:
+    """(toxic, size, steps, features, times) of the segments of ``rows`` (toxic, text): where lexicon features are; segments that agree are one."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for toxic, text in zip(batch["toxic"], batch["text"], strict=True):
+                words = WORD.findall(text.lower())
+                for k in range(0, len(words), SEGMENT):
+                    part = words[k : k + SEGMENT]
+                    cells = [(t, lexicon[f]) for t, w in enumerate(part) for f in features(w) if f in lexicon]
+                    out.append((toxic, len(part), [t for t, _ in cells], [f for _, f in cells]))
+            yield pd.DataFrame(out, columns=["toxic", "size", "steps", "features"])
+
+    found = rows.mapInPandas(cut, "toxic int, size int, steps array<int>, features array<int>")
+    return sorted((r["toxic"], r["size"], list(r["steps"]), list(r["features"]), r["times"]) for r in found.groupBy("toxic", "size", "steps", "features").agg(F.count("*").alias("times")).collect())
+
+
+def summaries(rows: DataFrame, model: Model) -> list[tuple[int, list[float]]]:
+    """(toxic, inputs of the document score) of ``rows`` (toxic, text)."""
+
+    @F.pandas_udf("array<double>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield pd.Series([inputs(p) for p in scorer.marginals(batch.tolist())], dtype=object)
+
+    return sorted((r["toxic"], list(r["x"])) for r in rows.select("toxic", of(F.col("text")).alias("x")).collect())
+
+
+def fit_chain(model: Model, found: list[tuple[int, int, list[int], list[int], int]]) -> None:
+    """Gradient ascent on the mean log likelihood of the labelled words, over the segments of ``segments``."""
+    lanes, n = len(found), len(model.lexicon)
     model.weights = np.zeros(n)
     if not lanes:
         return
-    cells = [(i, t, f) for i, seg in enumerate(hits) for t, fs in enumerate(seg) for f in fs]
-    lane, step, feature = (np.array(x, dtype=np.int64) for x in zip(*cells, strict=True)) if cells else (np.zeros(0, np.int64),) * 3
-    there = np.array([[t < len(seg) for t in range(SEGMENT)] for seg in hits])
+    toxic, size, times = (np.array([x[k] for x in found]) for k in (0, 1, 4))
+    lane = np.repeat(np.arange(lanes), [len(x[2]) for x in found])
+    step, feature = (np.array([v for x in found for v in x[k]], dtype=np.int64) for k in (2, 3))
+    there = np.arange(SEGMENT) < size[:, None]
     truth = np.zeros((lanes, SEGMENT))
-    truth[lane, step] = np.array(label)[lane] if len(lane) else 0
-    pair_there = there[:, 1:]
+    truth[lane, step] = toxic[lane]
     theta = np.zeros(n + 1 + 4)  # features, bias, transitions 00 01 10 11
     theta[n] = -3.0
     slope, square = np.zeros_like(theta), np.zeros_like(theta)  # Adam's running means
-    real = np.array([(truth[:, :-1] == a) & (truth[:, 1:] == b) & pair_there for a in (0, 1) for b in (0, 1)]).sum(axis=(1, 2))
-    scale = max(1.0, truth.sum())
+    weight = times.astype(float)
+    real = np.array([(((truth[:, :-1] == a) & (truth[:, 1:] == b) & there[:, 1:]) * weight[:, None]).sum() for a in (0, 1) for b in (0, 1)])
+    scale = max(1.0, (truth * weight[:, None]).sum())
     for k in range(1, STEPS + 1):
         e = np.full((lanes, SEGMENT), theta[n])
         np.add.at(e, (lane, step), theta[feature])
         move = np.exp(theta[n + 1 :]).reshape(2, 2)
-        p, pairs = marginals(e, there, move, True)
-        gap = np.where(there, truth - p, 0.0)
+        p, pairs = marginals(e, there, move, weight)
+        gap = np.where(there, truth - p, 0.0) * weight[:, None]
         grad = np.concatenate([np.bincount(feature, gap[lane, step], n) if n else np.zeros(0), [gap.sum()], real - pairs]) / scale
         grad -= 1e-5 * theta
         slope, square = 0.9 * slope + 0.1 * grad, 0.99 * square + 0.01 * grad**2
@@ -131,8 +162,8 @@ def fit_chain(model: Model, rows: list[tuple[int, str]]) -> None:
     model.weights, model.bias, model.move = theta[:n], float(theta[n]), np.exp(theta[n + 1 :]).reshape(2, 2)
 
 
-def marginals(e: np.ndarray, there: np.ndarray, move: np.ndarray, with_pairs: bool = False):
-    """P(toxic) of each word (rows are documents, ``e`` the scores of state 1); with_pairs: expected transitions 00 01 10 11.
+def marginals(e: np.ndarray, there: np.ndarray, move: np.ndarray, weight: np.ndarray | None = None):
+    """P(toxic) of each word (rows are documents, ``e`` the scores of state 1); with a row's ``weight``: expected transitions 00 01 10 11, too.
 
     Forward and backward messages are kept as odds of state 1 over state 0, in lockstep over all rows.
     """
@@ -149,12 +180,12 @@ def marginals(e: np.ndarray, there: np.ndarray, move: np.ndarray, with_pairs: bo
         behind[t] = np.where(on[t + 1], (move[1, 1] * s + move[1, 0]) / (move[0, 1] * s + move[0, 0]), 1.0)
     both = ahead * behind
     p = np.where(on, both / (1 + both), 0.0).T
-    if not with_pairs:
+    if weight is None:
         return p
     r, s = ahead[:-1], (odds * behind)[1:]
     parts = [move[0, 0] * np.ones_like(r), move[0, 1] * s, move[1, 0] * r, move[1, 1] * r * s]
     whole = np.where(on[1:], sum(parts), np.inf)
-    return p, np.array([(x / whole).sum() for x in parts])
+    return p, np.array([(x / whole * weight).sum() for x in parts])
 
 
 class Scorer:
@@ -214,10 +245,9 @@ def inputs(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, np.log1p(p.sum()), p.max(initial=0.0)])
 
 
-def fit_logistic(model: Model, rows: list[tuple[int, str]], prior: float) -> None:
+def fit_logistic(model: Model, rows: list[tuple[int, list[float]]], prior: float) -> None:
     """Ridge logistic regression by Newton steps; classes weigh as they do among all labels."""
-    scorer = Scorer(model)
-    x = np.array([inputs(p) for p in scorer.marginals([t for _, t in rows])])
+    x = np.array([v for _, v in rows])
     y = np.array([k for k, _ in rows], dtype=float)
     w = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
     beta = np.zeros(3)
@@ -235,10 +265,12 @@ def tagged(text: Column, model: Model) -> Column:
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)
         for batch in batches:
-            texts = batch.tolist()
-            for_each = scorer.marginals(texts)
-            spans = [[{"start": a, "end": b, "probability": q} for a, b, q in scorer.spans(t, p)] for t, p in zip(texts, for_each, strict=True)]
-            yield pd.DataFrame({"score": [scorer.score(p) for p in for_each], "spans": spans})
+            texts, scores, spans = batch.tolist(), [], []
+            for at, to in batches_of(texts):
+                found = scorer.marginals(texts[at:to])
+                scores += [scorer.score(p) for p in found]
+                spans += [[{"start": a, "end": b, "probability": q} for a, b, q in scorer.spans(t, p)] for t, p in zip(texts[at:to], found, strict=True)]
+            yield pd.DataFrame({"score": scores, "spans": spans})
 
     return tag(F.coalesce(text, F.lit("")))
 
