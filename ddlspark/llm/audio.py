@@ -97,9 +97,9 @@ def fingerprints(samples: Column) -> Column:
 
 
 def tune(values: np.ndarray) -> np.ndarray:
-    """PCM samples of a tune of one note a value, its pitch by the value."""
-    time = np.arange(2 * FRAME) / RATE
-    notes = np.floor(np.nan_to_num(np.clip(values, -1, 1)) * 60 + 24) % 48
+    """PCM samples of a tune of one note of FRAME samples a value, its pitch by the value."""
+    time = np.arange(FRAME) / RATE
+    notes = np.clip(np.floor(np.nan_to_num(values) * 40 + 12), 0, 23)
     return np.sin(2 * np.pi * 220.0 * 2 ** (notes / 12)[:, None] * time).ravel()
 
 

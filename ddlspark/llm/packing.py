@@ -105,7 +105,8 @@ def best_two_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
 
     Full pieces are sequences of their own and never enter a group.
     """
-    items = materialize(items, "pieces")
+    spread = items.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**40)))  # of a row, so repeated ids fall apart
+    items = materialize(spread, "pieces")
     n = items.filter(F.col("length") < capacity).count()
     groups = max(1, -(-n // GROUP_PIECES))
 
@@ -120,10 +121,10 @@ def best_two_fit(items: DataFrame, capacity: int = 4096) -> DataFrame:
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
         return group.drop(columns="salt").assign(sequence_id=sequence, offset=offset)
 
-    names = [f"`{c}` {t}" for c, t in items.dtypes]
-    part = items.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    names = [f"`{c}` {t}" for c, t in items.drop("salt").dtypes]
+    part = items.filter(F.col("length") < capacity).withColumn("salt", F.col("salt") % groups)
     packed = part.groupBy("salt").applyInPandas(pack, ", ".join(names) + ", " + PACKED)
-    full = items.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    full = items.drop("salt").filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(full)
 
 

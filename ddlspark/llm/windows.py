@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ._work import materialize, release
-from .chunks import answers, asked, bucket_count, bytes_of, cut, distinct, grouped, often, passed, passes, placed, thawed, with_result
+from .chunks import answers, asked, bucket_count, bytes_of, cut, distinct, grouped, often, passed, passes, placed, thawed, with_answers, with_result
 from .words import Words
 
 RESULT = StructType().add("n_words", "long").add("n_removed", "long").add("kept", "string")
@@ -137,7 +137,7 @@ def survived(docs: DataFrame, window: int, text_col: str) -> tuple[DataFrame, Da
     plan = Plan(window, level_lengths(window), bucket_count(chunked, PICKED), docs.columns.index(text_col))
     for k in range(len(plan.steps) - 1):
         questions = asked(table, lambda row, k=k: counted(row, k, plan), ["u1"], plan.buckets)
-        table = table.join(answers(questions, ["u1"], often, f"level{k}"), "chunk", "left")
+        table = with_answers(table, answers(questions, ["u1"], often, f"level{k}"))
     return chunked, table, plan
 
 
@@ -152,7 +152,7 @@ def without_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
         key, own = least_ids(level, ids_of(rows.column(id_at)))
         return key, [own]
 
-    table = table.join(answers(asked(table, firsts, ["<i8"], wide), ["<i8"], least, "firsts"), "chunk", "left")
+    table = with_answers(table, answers(asked(table, firsts, ["<i8"], wide), ["<i8"], least, "firsts"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ddlspark.llm import audio, decontamination, licenses
+from ddlspark.llm import registry as llm
 
 from .corpus import frame, prose, rows, words
 
@@ -111,6 +112,40 @@ def test_audio_recall(spark):
     assert all(pairs[k, 100 + k].offset == -20 for k in range(12))
 
 
+def brute_pairs(asking, known, errors=audio.ERRORS):
+    """All alignments of all pairs: (asking, known) with at most that share of wrong bits at one of them."""
+    near = set()
+    for a, p in asking.items():
+        for b, q in known.items():
+            for o in range(audio.OVERLAP - len(p), len(q) - audio.OVERLAP + 1):
+                x, y = p[max(0, -o) : len(q) - o], q[max(0, o) : len(p) + o]
+                n = min(len(x), len(y))
+                if n >= min(audio.OVERLAP, len(p), len(q)) and np.bitwise_count((x[:n] ^ y[:n]).view(np.uint32)).mean() / 32 <= errors:
+                    near.add((a, b))
+                    break
+    return near
+
+
+def test_audio_query_recall(spark):
+    """The registered query against brute force over all alignments of all recordings."""
+    sf = "/root/testdata/sf0.001"
+    got = {(r.id, r.other) for r in llm.queries()["op9_audio_fingerprints"](spark, sf).collect() if r.kind == "pair"}
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    held = {r.id: np.array(r.print, np.int32) for r in vectors.select("id", audio.played(F.col("embedding")).alias("print")).collect()}
+    clips = {r.id: np.array(r.print, np.int32) for r in vectors.filter("id % 50 = 0").select("id", audio.played(F.col("embedding"), F.col("id")).alias("print")).collect()}
+    near = brute_pairs(clips, held)
+    assert len(near) >= len(clips) and len(near & got) >= 0.9 * len(near) and got <= near
+
+
+def test_audio_edges(spark):
+    rows_ = [(1, None), (2, []), (3, [5] * 40), (4, [5] * 90), (None, [5] * 40), (3, [5] * 40), (6, [6] * 40), (7, [1, 2] * 30), (8, [9, 9, *[1, 2] * 29])]
+    prints = spark.createDataFrame(rows_, "id long, print array<int>")
+    out = audio.search(prints, F.col("id").isNotNull()).collect()
+    assert {(r.id, r.other) for r in out if r.kind == "member"} == {(3, 3), (3, None)}
+    assert {(r.id, r.other) for r in out if r.kind == "pair"} == {(3, 4), (4, 3), (7, 8), (8, 7)}
+    assert audio.search(prints.filter("false"), F.lit(True)).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(9)
     pairs = rows() + [(2000 + k, prose(rng, 60)) for k in range(40)] + [(3000 + k, prose(rng, 30) + " grumf vilex " + prose(rng, 9)) for k in range(20)]

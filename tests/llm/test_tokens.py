@@ -1,15 +1,17 @@
-"""Operators 2 and 4: exact round trips and packing invariants."""
+"""Operators 2 and 4: exact round trips, and queries against a brute force by row."""
 
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ddlspark.llm import packing, range_coder, token_files
+from ddlspark.llm import packing, range_coder, registry, token_files
 from ddlspark.llm.tokens import ByteLevelIds, WordIds, ids_of
 
 from .corpus import frame, rows
@@ -32,21 +34,34 @@ def test_memo_equals_the_tokenizer(kind, path):
         assert memo.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-@settings(max_examples=20, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 50_256), min_size=1, max_size=60), min_size=1, max_size=5))
-def test_blocks_round_trip(blocks):
-    blocks.sort(key=len, reverse=True)
-    lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), lengths[0]), np.int64)
-    for row, b in zip(ids, blocks):
-        row[: len(b)] = b
-    assert (range_coder.decode_blocks(range_coder.encode_blocks(ids, lengths), lengths) == ids).all()
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 30), st.integers(0, 50_256), st.integers(0, 2**18 - 1)), max_size=3000))
+def test_units_round_trip(ids):
+    assert range_coder.decode_unit(range_coder.encode_unit(np.array(ids, np.int64))).tolist() == ids
+
+
+def test_large_units_round_trip():
+    rng = np.random.default_rng(3)
+    for ids in (np.zeros(600_000, np.int64), rng.zipf(1.3, 300_001) % 70_000, np.arange(200_000) % 7 + 100_000):
+        assert (range_coder.decode_unit(range_coder.encode_unit(ids)) == ids).all()
+    with pytest.raises(ValueError, match="ids"):
+        range_coder.encode_unit(np.array([1 << 18]))
 
 
 def test_coder_learns():
-    ids = np.tile(np.array([[7, 9, 40_000, 3, 9, 2]]), (2, 200))
-    coded = range_coder.encode_blocks(ids, np.full(2, 1200))
-    assert sum(map(len, coded)) < ids.size * 0.4
+    ids = np.tile(np.array([7, 9, 40_000, 3, 9, 2]), 400)
+    assert len(range_coder.encode_unit(ids)) < len(ids) * 0.4
+
+
+def test_fewer_bits_than_zlib():
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    encode = ids_of(ByteLevelIds, BYTE).encode
+    ids = np.frombuffer(b"".join(encode(t or "") + bytes(4) for t in texts), "<u4").astype(np.int64)
+    coded = len(range_coder.encode_unit(ids))
+    assert coded < 0.9 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert 8 * coded < entropy * len(ids)
 
 
 def test_damage_is_found():
@@ -92,6 +107,41 @@ def test_packing(spark):
     assert len(bins) <= 1.1 * want / 256 + 1
 
 
+def test_packing_query_by_row(spark):
+    """The registered query: pieces, starts, lengths and checksums by row, and as few sequences as best-fit-decreasing needs."""
+    got = registry.queries()["op4_best_fit_packing"](spark, "/root/testdata/sf0.001").collect()
+    whole = Tokenizer.from_file(WORD)
+    want = set()
+    for i, t in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall():
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want |= {(i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(ids[k : k + 4096].tobytes())) for k in range(0, len(ids), 4096)}
+    assert len(got) == len(want) and {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got} == want
+    rooms = []
+    for n in sorted((x[3] for x in want), reverse=True):
+        fit = [k for k, room in enumerate(rooms) if room >= n]
+        if fit:
+            rooms[min(fit, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(4096 - n)
+    assert len({r.sequence_id for r in got}) <= len(rooms)
+
+
+def test_token_query_by_row(spark):
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in registry.queries()["op2_token_ids"](spark, "/root/testdata/sf0.001").collect()}
+    whole, at = Tokenizer.from_file(BYTE), 0
+    for i, t in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY doc_id").fetchall():
+        ids = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert got.pop(i) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert not got
+
+
+def test_repeated_ids_spread_over_groups(spark):
+    items = spark.range(3 * packing.GROUP_PIECES).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 99 + 1).alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    sequences = packing.best_two_fit(items).select((F.col("sequence_id").bitwiseAND(0) + F.shiftright("sequence_id", 32)).alias("g")).groupBy("g").count().collect()
+    assert len(sequences) == 3
+
+
 def test_two_fit_replaces_the_smallest():
     sequences = packing.two_fit(np.array([60, 30, 22, 17]), 100)
     assert sorted(map(sorted, sequences)) == [[0, 2, 3], [1]]
