@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def row_hash(columns: list[str]) -> Column:
-    """The first 15 hex digits of a row's MD5 as a number; a null is marked, so it differs from an empty string."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+    """The first 15 hex digits of a row's MD5 as a number.
+
+    Each value follows its length and a null is a mark without one, so rows that differ are different texts, whatever characters they hold.
+    """
+    text = lambda c: F.col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 15), 16, 10).cast("long")
 
 
 def checksum(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
@@ -19,22 +23,25 @@ def checksum(df: DataFrame, columns: list[str], by: list[str] | None = None) ->
 
 
 def chunked(df: DataFrame, key: str, size: int) -> DataFrame:
-    """``df`` with ``chunk``: ranges of ``size`` numbers of an integer key, which partition all keys."""
+    """``df`` with ``chunk``: ranges of ``size`` numbers of an integer key, which partition all keys; null keys are a chunk of their own, null."""
     return df.withColumn("chunk", F.floor(F.col(key) / size).cast("long"))
 
 
 def divergent_chunks(source: DataFrame, shadow: DataFrame, key: str, columns: list[str], size: int) -> DataFrame:
     """Chunks whose checksums differ, or that one side lacks."""
     a, b = (checksum(chunked(df, key, size), columns, ["chunk"]) for df in (source, shadow))
-    a, b = a.toDF("chunk", "na", "xa", "sa"), b.toDF("chunk", "nb", "xb", "sb")
+    a, b = a.toDF("chunk", "na", "xa", "sa"), b.toDF("other", "nb", "xb", "sb")
     same = F.col("na").eqNullSafe(F.col("nb")) & F.col("xa").eqNullSafe(F.col("xb")) & F.col("sa").eqNullSafe(F.col("sb"))
-    return a.join(b, "chunk", "full").filter(~same).select("chunk")
+    both = a.join(b, F.col("chunk").eqNullSafe(F.col("other")), "full")
+    return both.filter(~same).select(F.coalesce("chunk", "other").alias("chunk"))
 
 
 def repaired(source: DataFrame, shadow: DataFrame, key: str, size: int, bad: DataFrame) -> DataFrame:
     """The shadow with its divergent chunks, and only these, copied again."""
-    kept = chunked(shadow, key, size).join(bad, "chunk", "left_anti")
-    return kept.unionByName(chunked(source, key, size).join(bad, "chunk", "left_semi")).drop("chunk")
+    bad = bad.select(F.col("chunk").alias("_bad"))
+    at = F.col("chunk").eqNullSafe(F.col("_bad"))
+    kept = chunked(shadow, key, size).join(bad, at, "left_anti")
+    return kept.unionByName(chunked(source, key, size).join(bad, at, "left_semi")).drop("chunk")
 
 
 def latest_changes(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -68,11 +75,7 @@ def carried_forward(change: Column, unchanged: Column, old: Column) -> Column:
 
 def chunk_bounds(df: DataFrame, key: str, chunks: int) -> DataFrame:
     """(chunk, low, high, n) of about equal numbers of rows, by approximate quantiles of the key."""
-    at = df.select(F.percentile_approx(key, [k / chunks for k in range(1, chunks)], 10_000).alias("cuts"))
-    placed = df.crossJoin(F.broadcast(at)).select(F.size(F.filter("cuts", lambda c: c < F.col(key))).alias("chunk"), F.col(key).alias("k"))
+    cuts = df.select(F.percentile_approx(key, [k / chunks for k in range(1, chunks)], 10_000)).first()[0] or []
+    placed = df.select(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))).alias("chunk"), F.col(key).alias("k"))
     return placed.groupBy("chunk").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("n"))
 
-
-def rank_in_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``df`` with ``version``: 1 for a key's last row."""
-    return df.withColumn("version", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])))

@@ -1,4 +1,4 @@
-"""What each schema-change operation costs a live table: route, reason, disposition, lint and advice, as Column expressions.
+"""What each schema-change operation costs a live table: route, reason, disposition and lint, as Column expressions.
 
 Operations are rows (see ``sources.tables.operations``), so a corpus of any number of statements is classified in one
 pass; only the verdict of whole statements needs an aggregate.
@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.types import binary_coercible
 
+# Operation kinds by what they do.
 METADATA = ("create table", "drop column", "set default", "drop default", "drop not null", "set statistics", "rename index", "set schema", "set storage", "drop constraint")
 DESTRUCTIVE = ("drop column", "drop constraint", "drop index")
+NOT_EXECUTED = ("create table", "create partition", "rename index", "drop index", "reindex", "unrecognized")
 INDEXES = ("create index", "drop index", "reindex", "detach partition")
 
 
@@ -28,7 +30,7 @@ def reason() -> Column:
         .otherwise("metadata-only")
     )
     retype = F.when(~F.col("has_using") & binary_coercible(F.col("old_type"), F.col("new_type")), "binary-coercible").otherwise("type-rewrite")
-    constrain = F.when(constraint == "exclude", "unsupported-operation").when(F.col("not_valid") & (constraint != "not null"), "online-idiom").otherwise("safer-idiom")
+    constrain = F.when(F.col("using_index") | F.col("not_valid"), "online-idiom").when(constraint == "exclude", "unsupported-operation").otherwise("safer-idiom")
     return (
         F.when(kind == "create partition", "partition-parent-lock")
         .when(kind == "add column", add)
@@ -45,6 +47,11 @@ def reason() -> Column:
     )
 
 
+def unverified() -> Column:
+    """Whether a rewrite is only assumed: the column's live type is not known, and a fact could prove a relabel."""
+    return (F.col("kind") == "alter type") & ~F.col("has_using") & F.col("old_type").isNull()
+
+
 def route(reason_: Column) -> Column:
     return F.when(reason_ == "unsupported-operation", "refuse").when(reason_.isin("generated-stored", "volatile-default", "type-rewrite", "relocation"), "copy-and-swap").otherwise("native")
 
@@ -57,11 +64,12 @@ def has_steps() -> Column:
 
 
 def classified(operations: DataFrame) -> DataFrame:
-    """``operations`` with reason, route, rank (of the route, worst highest), destructive and steps."""
+    """``operations`` with reason, route, rank (of the route, worst highest), unverified, destructive and steps."""
     return (
         operations.withColumn("reason", reason())
         .withColumn("route", route(F.col("reason")))
         .withColumn("rank", F.when(F.col("route") == "refuse", 2).when(F.col("route") == "copy-and-swap", 1).otherwise(0))
+        .withColumn("unverified", unverified())
         .withColumn("destructive", F.col("kind").isin(*DESTRUCTIVE))
         .withColumn("steps", has_steps())
     )
@@ -87,25 +95,31 @@ def findings(decisions: DataFrame) -> DataFrame:
     r = F.col("reason")
     code = (
         F.when(r == "unsupported-operation", "unsupported-operation")
+        .when(F.col("unverified"), "possible-table-rewrite")
         .when(F.col("route") == "copy-and-swap", "table-rewrite")
         .when(r == "safer-idiom", "blocking-idiom")
         .when(r == "app-breaking-rename", "app-breaking-rename")
-        .when(r == "partition-parent-lock", "partition-parent-lock")
     )
-    severity = F.when(F.col("code").isin("unsupported-operation", "table-rewrite"), "error").otherwise("warning")
+    severity = F.when(F.col("code") == "unsupported-operation", "error").otherwise("warning")
     both = decisions.select("stmt_id", "op_no", F.explode(F.array(code, F.when(F.col("destructive"), "destructive"))).alias("code")).filter("code is not null")
     return both.withColumn("severity", severity)
 
 
-def fingerprints(decisions: DataFrame) -> DataFrame:
-    """A digest of each statement's decisions in their order; each field ends with 0x1F and each operation with 0x1E."""
+def fingerprints(plans: DataFrame) -> DataFrame:
+    """(plan_id, fingerprint) of ``plans`` (plan_id, pos, sql, route, backend, disposition, exec_sql): a digest of what would execute, in order.
+
+    Each field ends with 0x1F and each statement with 0x1E.  Reasons are left out: they explain, but change nothing.
+    """
     end = F.lit("\x1f")
-    one = F.concat(F.col("kind"), end, F.col("route"), end, F.col("reason"), end, F.lit("\x1e"))
-    whole = decisions.groupBy("stmt_id").agg(F.sort_array(F.collect_list(F.struct("op_no", one.alias("text")))).alias("ops"))
-    return whole.select("stmt_id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.col("ops.text"), ""), 256)).alias("fingerprint"))
+    fields = F.concat(F.array("sql", "route", "backend", "disposition"), "exec_sql")
+    one = F.concat(F.array_join(F.transform(fields, lambda x: F.concat(F.coalesce(x, F.lit("")), end)), ""), F.lit("\x1e"))
+    whole = plans.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("pos", one.alias("text")))).alias("parts"))
+    return whole.select("plan_id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.col("parts.text"), ""), 256)).alias("fingerprint"))
 
 
 def required_tier(decisions: DataFrame) -> DataFrame:
-    """1 for a statement that alters a table, 2 if it also builds an index."""
-    builds = (F.col("kind") == "create index") | ((F.col("kind") == "add constraint") & F.col("constraint_kind").isin("primary key", "unique", "exclude"))
-    return decisions.groupBy("stmt_id").agg(F.max(F.when(builds, 2).otherwise(1)).alias("tier"))
+    """1 for a statement that alters a table, 2 if it also builds an index, null if it is of a kind that is never executed."""
+    kind = F.col("kind")
+    builds = (kind == "create index") | ((kind == "add constraint") & F.col("constraint_kind").isin("primary key", "unique", "exclude") & ~F.col("using_index"))
+    known = ~kind.isin(*NOT_EXECUTED)
+    return decisions.groupBy("stmt_id").agg(F.when(F.bool_and(known), F.max(F.when(builds, 2).otherwise(1))).alias("tier"))

@@ -106,21 +106,21 @@ ops AS (SELECT stmt_id, CAST(op_no AS INTEGER) AS op_no,
   ['create table','create partition','add column','drop column','alter type','set default','drop default','set not null','drop not null','set statistics','rename column','rename table','rename index','set schema','set tablespace','set storage','add constraint','validate constraint','drop constraint','attach partition','detach partition','create index','drop index','reindex','unrecognized'][z % 25 + 1] AS kind,
   ['none','constant','expression'][z // 3 % 3 + 1] AS default_kind, z // 5 % 4 = 0 AS generated,
   ['none','none','known','unknown'][z // 7 % 4 + 1] AS inl,
-  ['varchar(20)','varchar(50)','varchar','text','numeric(10,2)','numeric(12,2)','numeric(12,4)','integer','bigint'][z // 2 % 9 + 1] AS old_type,
-  ['varchar(20)','varchar(50)','varchar','text','numeric(10,2)','numeric(12,2)','numeric(12,4)','integer','bigint'][z // 11 % 9 + 1] AS new_type,
-  z // 13 % 5 = 0 AS has_using, z // 3 % 2 = 0 AS named, z // 4 % 3 = 0 AS not_valid, z // 6 % 3 = 0 AS conc,
+  CASE WHEN z // 17 % 6 <> 0 THEN ['varchar(20)','varchar(50)','varchar','text','numeric(10,2)','numeric(12,2)','decimal(12,4)','integer','varchar(50)[]'][z // 2 % 9 + 1] END AS old_type,
+  ['varchar(20)','varchar(50)','varchar','text','numeric(10,2)','numeric(12,2)','decimal(12,4)','integer','varchar(50)[]'][z // 11 % 9 + 1] AS new_type,
+  z // 13 % 5 = 0 AS has_using, z // 3 % 2 = 0 AS named, z // 4 % 3 = 0 AS not_valid, z // 9 % 6 = 0 AS using_index, z // 6 % 3 = 0 AS conc,
   ['primary key','unique','check','foreign key','not null','exclude'][z // 2 % 6 + 1] AS con FROM drawn),
 fits(o, n) AS (VALUES ('varchar(20)','varchar(50)'),('varchar(20)','varchar'),('varchar(20)','text'),('varchar(50)','varchar'),('varchar(50)','text'),('varchar','text'),('numeric(10,2)','numeric(12,2)')),
 reasoned AS (SELECT ops.*, CASE kind
   WHEN 'create partition' THEN 'partition-parent-lock' WHEN 'set tablespace' THEN 'relocation' WHEN 'unrecognized' THEN 'unsupported-operation'
   WHEN 'rename column' THEN 'app-breaking-rename' WHEN 'rename table' THEN 'app-breaking-rename'
   WHEN 'validate constraint' THEN 'online-idiom' WHEN 'set not null' THEN 'safer-idiom' WHEN 'attach partition' THEN 'safer-idiom'
-  WHEN 'alter type' THEN CASE WHEN NOT has_using AND (old_type = new_type OR EXISTS (SELECT 1 FROM fits WHERE o = old_type AND n = new_type)) THEN 'binary-coercible' ELSE 'type-rewrite' END
+  WHEN 'alter type' THEN CASE WHEN NOT has_using AND ((old_type = new_type AND new_type NOT LIKE '%]') OR EXISTS (SELECT 1 FROM fits WHERE o = old_type AND n = new_type)) THEN 'binary-coercible' ELSE 'type-rewrite' END
   WHEN 'add column' THEN CASE WHEN inl = 'unknown' THEN 'unsupported-operation' WHEN generated THEN 'generated-stored' WHEN default_kind = 'expression' THEN 'volatile-default' WHEN inl = 'known' THEN 'safer-idiom' WHEN default_kind = 'constant' THEN 'fast-default' ELSE 'metadata-only' END
-  WHEN 'add constraint' THEN CASE WHEN con = 'exclude' THEN 'unsupported-operation' WHEN not_valid AND con <> 'not null' THEN 'online-idiom' ELSE 'safer-idiom' END
+  WHEN 'add constraint' THEN CASE WHEN using_index OR not_valid THEN 'online-idiom' WHEN con = 'exclude' THEN 'unsupported-operation' ELSE 'safer-idiom' END
   ELSE CASE WHEN kind IN ('detach partition','create index','drop index','reindex') THEN CASE WHEN conc THEN 'online-idiom' ELSE 'safer-idiom' END ELSE 'metadata-only' END END AS reason FROM ops),
 decided AS (SELECT *, CASE WHEN reason = 'unsupported-operation' THEN 2 WHEN reason IN ('generated-stored','volatile-default','type-rewrite','relocation') THEN 1 ELSE 0 END AS rank,
-  kind IN ('drop column','drop constraint','drop index') AS destructive,
+  kind IN ('drop column','drop constraint','drop index') AS destructive, kind = 'alter type' AND NOT has_using AND old_type IS NULL AS unverified,
   reason = 'safer-idiom' AND (kind IN ('set not null','detach partition','create index','drop index','reindex') OR (kind = 'add constraint' AND (con IN ('primary key','unique') OR (con IN ('check','foreign key') AND named)))) AS steps FROM reasoned),
 routed AS (SELECT *, ['native','copy-and-swap','refuse'][rank + 1] AS route FROM decided)
 """  # noqa: E501
@@ -130,9 +130,9 @@ def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return classify.classified(tables.operations(spark, d))
 
 
-@query(_OPS + "SELECT stmt_id, op_no, kind, route, reason, destructive, steps FROM routed")
+@query(_OPS + "SELECT stmt_id, op_no, kind, route, reason, unverified, destructive, steps FROM routed")
 def classify_corpus(spark, d):
-    return _decisions(spark, d).select("stmt_id", "op_no", "kind", "route", "reason", "destructive", "steps")
+    return _decisions(spark, d).select("stmt_id", "op_no", "kind", "route", "reason", "unverified", "destructive", "steps")
 
 
 @query(_OPS + "SELECT stmt_id, ['native','copy-and-swap','refuse'][max(rank) + 1] AS route FROM routed GROUP BY stmt_id")
@@ -152,9 +152,9 @@ def route_disposition(spark, d):
 
 _LINT = (
     _OPS
-    + """, codes AS (SELECT stmt_id, op_no, CASE WHEN rank = 2 THEN 'unsupported-operation' WHEN rank = 1 THEN 'table-rewrite' WHEN reason = 'safer-idiom' THEN 'blocking-idiom' WHEN reason IN ('app-breaking-rename', 'partition-parent-lock') THEN reason END AS code FROM routed
+    + """, codes AS (SELECT stmt_id, op_no, CASE WHEN rank = 2 THEN 'unsupported-operation' WHEN unverified THEN 'possible-table-rewrite' WHEN rank = 1 THEN 'table-rewrite' WHEN reason = 'safer-idiom' THEN 'blocking-idiom' WHEN reason = 'app-breaking-rename' THEN reason END AS code FROM routed
   UNION ALL SELECT stmt_id, op_no, 'destructive' FROM routed WHERE destructive),
-found AS (SELECT *, CASE WHEN code IN ('unsupported-operation', 'table-rewrite') THEN 'error' ELSE 'warning' END AS severity FROM codes WHERE code IS NOT NULL) """
+found AS (SELECT *, CASE WHEN code = 'unsupported-operation' THEN 'error' ELSE 'warning' END AS severity FROM codes WHERE code IS NOT NULL) """
 )
 
 
@@ -168,25 +168,37 @@ def lint_counts(spark, d):
     return classify.findings(_decisions(spark, d)).groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("stmt_id").alias("n_statements"))
 
 
-@query(_OPS + "SELECT stmt_id, 'sha256:' || sha256(string_agg(kind || chr(31) || route || chr(31) || reason || chr(31) || chr(30), '' ORDER BY op_no)) AS fingerprint FROM routed GROUP BY stmt_id")
+_PLANS = (
+    _OPS
+    + """, plans AS (SELECT stmt_id // 7 AS plan_id, stmt_id AS pos, 'alter t' || stmt_id || ': ' || string_agg(kind, ', ' ORDER BY op_no) AS sql, ['native','copy-and-swap','refuse'][max(rank) + 1] AS route,
+  ['direct','shadow','none'][max(rank) + 1] AS backend, ['execute','unavailable','refuse'][max(rank) + 1] AS disposition, list(kind ORDER BY op_no) FILTER (rank = 0) AS steps FROM routed GROUP BY stmt_id),
+texts AS (SELECT plan_id, pos, sql || chr(31) || route || chr(31) || backend || chr(31) || disposition || chr(31) || coalesce(array_to_string(list_transform(steps, lambda x: x || chr(31)), ''), '') || chr(30) AS t FROM plans) """
+)
+
+
+@query(_PLANS + "SELECT plan_id, 'sha256:' || sha256(string_agg(t, '' ORDER BY pos)) AS fingerprint FROM texts GROUP BY plan_id")
 def plan_fingerprint(spark, d):
-    return classify.fingerprints(_decisions(spark, d))
+    ops = _decisions(spark, d).groupBy("stmt_id").agg(F.max("rank").alias("rank"), F.sort_array(F.collect_list(F.struct("op_no", "kind", F.col("rank").alias("r")))).alias("ops"))
+    named = lambda names: F.get(F.array(*map(F.lit, names)), F.col("rank"))
+    steps = F.transform(F.filter("ops", lambda x: x.r == 0), lambda x: x.kind)
+    sql = F.concat(F.lit("alter t"), "stmt_id", F.lit(": "), F.array_join(F.col("ops.kind"), ", "))
+    return classify.fingerprints(ops.select(F.floor(F.col("stmt_id") / 7).alias("plan_id"), F.col("stmt_id").alias("pos"), sql.alias("sql"), named(("native", "copy-and-swap", "refuse")).alias("route"), named(("direct", "shadow", "none")).alias("backend"), named(("execute", "unavailable", "refuse")).alias("disposition"), steps.alias("exec_sql")))
 
 
-@query(_OPS + "SELECT stmt_id, CAST(max(CASE WHEN kind = 'create index' OR (kind = 'add constraint' AND con IN ('primary key','unique','exclude')) THEN 2 ELSE 1 END) AS INTEGER) AS tier FROM routed GROUP BY stmt_id")
+@query(_OPS + "SELECT stmt_id, CASE WHEN NOT bool_or(kind IN ('create table','create partition','rename index','drop index','reindex','unrecognized')) THEN CAST(max(CASE WHEN kind = 'create index' OR (kind = 'add constraint' AND con IN ('primary key','unique','exclude') AND NOT using_index) THEN 2 ELSE 1 END) AS INTEGER) END AS tier FROM routed GROUP BY stmt_id")
 def required_tier(spark, d):
     return classify.required_tier(_decisions(spark, d))
 
 
-@query(_OPS + "SELECT DISTINCT old_type, new_type, old_type = new_type OR EXISTS (SELECT 1 FROM fits WHERE o = old_type AND n = new_type) AS coercible FROM ops")
+@query(_OPS + "SELECT DISTINCT old_type, new_type, coalesce(old_type = new_type AND new_type NOT LIKE '%]', false) OR EXISTS (SELECT 1 FROM fits WHERE o = old_type AND n = new_type) AS coercible FROM ops")
 def binary_coercible_matrix(spark, d):
     ops = tables.operations(spark, d).select("old_type", "new_type").distinct()
     return ops.withColumn("coercible", binary_coercible(F.col("old_type"), F.col("new_type")))
 
 
-@query("SELECT p_partkey, CASE WHEN strlen(x) <= 63 THEN x ELSE substr(x, 1, 54) || '_' || substr(sha256(x), 1, 8) END AS name FROM (SELECT p_partkey, repeat(p_name || '_', CAST(p_partkey % 5 + 1 AS INTEGER)) || 'idx' AS x FROM part)")
+@query("SELECT p_partkey, CASE WHEN strlen(x) <= 63 THEN x ELSE left(x, list_max(list_filter(range(0, 55), lambda k: strlen(left(x, k)) <= 54))) || '_' || substr(sha256(x), 1, 8) END AS name FROM (SELECT p_partkey, repeat(replace(p_name, 'a', 'é') || '_€', CAST(p_partkey % 5 + 1 AS INTEGER)) || 'idx' AS x FROM part)")
 def fitted_identifiers(spark, d):
-    name = F.concat(F.repeat(F.concat("p_name", F.lit("_")), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("idx"))
+    name = F.concat(F.repeat(F.concat(F.replace("p_name", F.lit("a"), F.lit("é")), F.lit("_€")), (F.col("p_partkey") % 5 + 1).cast("int")), F.lit("idx"))
     return tables.table(spark, d, "part").select("p_partkey", fitted(name).alias("name"))
 
 
@@ -228,9 +240,9 @@ def diff_converges(spark, d):
 
 # --- catalog queries
 
-@query("SELECT r_name, count(n_nationkey) AS n_nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey < 10 GROUP BY r_name")
+@query("SELECT r_name, count(n_nationkey) AS n_nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_name > 'F' GROUP BY r_name")
 def catalog_left_join(spark, d):
-    nation = tables.table(spark, d, "nation").filter("n_nationkey < 10")
+    nation = tables.table(spark, d, "nation").filter("n_name > 'F'")
     joined = tables.table(spark, d, "region").join(nation, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return joined.groupBy("r_name").agg(F.count("n_nationkey").alias("n_nations"))
 
@@ -247,6 +259,25 @@ def catalog_referenced_by(spark, d):
     return tables.table(spark, d, "nation").join(rich, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("there", F.lit(False)).alias("referenced"))
 
 
+@query("SELECT r_name, n_name, count(*) AS n_customers, max(c_acctbal) AS balance FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY r_name, n_name")
+def catalog_three_way_join(spark, d):
+    t = lambda name: tables.table(spark, d, name)
+    joined = t("region").join(t("nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(t("customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("n_customers"), F.max("c_acctbal").alias("balance"))
+
+
+@query("SELECT n_nationkey, (SELECT s_name FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_suppkey LIMIT 1) AS first_supplier FROM nation")
+def catalog_first_match(spark, d):
+    first = tables.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("first_supplier"))
+    return tables.table(spark, d, "nation").join(first, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_nationkey", "first_supplier")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_custkey = l_suppkey")
+def catalog_two_key_outer_join(spark, d):
+    orders = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_suppkey"), "o_orderstatus")
+    return tables.table(spark, d, "lineitem").join(orders, ["l_orderkey", "l_suppkey"], "left").select("l_orderkey", "l_linenumber", "o_orderstatus")
+
+
 @query("SELECT table_name, count(*) AS n_columns FROM information_schema.columns WHERE table_name IN ('region','nation','customer','supplier','part','orders','lineitem','events') GROUP BY table_name")
 def catalog_columns(spark, d):
     return tables.columns(spark, d).groupBy("table_name").agg(F.count("*").alias("n_columns"))
@@ -254,7 +285,8 @@ def catalog_columns(spark, d):
 
 # --- copies and changes: events are changes of users, in the order of time and id
 
-_ORDERS = "md5(concat_ws('|', coalesce(CAST(o_orderkey AS VARCHAR), '\\N'), coalesce(CAST(o_custkey AS VARCHAR), '\\N'), coalesce(o_orderstatus, '\\N'), coalesce(o_orderpriority, '\\N')))"
+_TEXTS = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+_ORDERS = f"md5({_TEXTS})"
 _HASHED = f"(SELECT o_orderkey // 1000 AS chunk, CAST(('0x' || substr({_ORDERS}, 1, 15)) AS BIGINT) AS h FROM orders)"
 _COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
@@ -298,26 +330,27 @@ def change_buffer_latest(spark, d):
 
 @query(
     """WITH base AS (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 2 = 0 GROUP BY user_id),
-last AS (SELECT user_id, event_id, event_type FROM events WHERE event_id % 2 = 1 AND user_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+last AS (SELECT user_id, event_id, event_type FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
 SELECT user_id, coalesce(l.event_id, b.event_id) AS event_id FROM base b FULL JOIN last l USING (user_id) WHERE l.event_type IS NULL OR l.event_type <> 'click'"""
 )
 def apply_changes(spark, d):
     events = tables.table(spark, d, "events")
     base = events.filter("event_id % 2 = 0").groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    changes = events.filter("event_id % 2 = 1 and user_id % 3 <> 0").select("user_id", "event_id", F.when(F.col("event_type") == "click", "delete").otherwise("upsert").alias("op"))
+    changes = events.filter("event_id % 2 = 1").select("user_id", "event_id", F.when(F.col("event_type") == "click", "delete").otherwise("upsert").alias("op"))
     return copy.applied(base, copy.latest_changes(changes, "user_id", ["event_id"]), "user_id")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey < 5000 OR o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'C' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def copy_never_overwrites(spark, d):
     orders = tables.table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     shadow = orders.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("C"))
-    return copy.copied(orders.filter("o_orderkey < 5000"), shadow, "o_orderkey")
+    return copy.copied(orders, shadow, "o_orderkey")
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id <= 75")
+@query("SELECT event_id, user_id FROM events WHERE user_id <= (SELECT avg(user_id) FROM events)")
 def watermark_discard(spark, d):
-    return copy.relevant(tables.table(spark, d, "events").select("event_id", "user_id"), "user_id", 75)
+    events = tables.table(spark, d, "events").select("event_id", "user_id")
+    return copy.relevant(events, "user_id", events.agg(F.avg("user_id")).first()[0])
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 10 = 1 THEN 'moved' ELSE c_mktsegment END AS segment FROM customer")

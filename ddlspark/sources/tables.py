@@ -34,11 +34,12 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(("none", "constant", "expression"), F.floor(draw / 3)).alias("default_kind"),
         (F.floor(draw / 5) % 4 == 0).alias("generated"),
         pick(("none", "none", "known", "unknown"), F.floor(draw / 7)).alias("inline"),
-        pick(TYPES, F.floor(draw / 2)).alias("old_type"),
+        F.when(F.floor(draw / 17) % 6 != 0, pick(TYPES, F.floor(draw / 2))).alias("old_type"),
         pick(TYPES, F.floor(draw / 11)).alias("new_type"),
         (F.floor(draw / 13) % 5 == 0).alias("has_using"),
         (F.floor(draw / 3) % 2 == 0).alias("named"),
         (F.floor(draw / 4) % 3 == 0).alias("not_valid"),
+        (F.floor(draw / 9) % 6 == 0).alias("using_index"),
         (F.floor(draw / 6) % 3 == 0).alias("concurrently"),
         pick(("primary key", "unique", "check", "foreign key", "not null", "exclude"), F.floor(draw / 2)).alias("constraint_kind"),
     )
@@ -50,4 +51,4 @@ KINDS = (
     "set statistics", "rename column", "rename table", "rename index", "set schema", "set tablespace", "set storage", "add constraint",
     "validate constraint", "drop constraint", "attach partition", "detach partition", "create index", "drop index", "reindex", "unrecognized",
 )
-TYPES = ("varchar(20)", "varchar(50)", "varchar", "text", "numeric(10,2)", "numeric(12,2)", "numeric(12,4)", "integer", "bigint")
+TYPES = ("varchar(20)", "varchar(50)", "varchar", "text", "numeric(10,2)", "numeric(12,2)", "decimal(12,4)", "integer", "varchar(50)[]")
