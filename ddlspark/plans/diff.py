@@ -33,3 +33,29 @@ def applied(live: DataFrame, desired: DataFrame, changes: DataFrame) -> DataFram
     names = ["table_name", "column_name", "type", "nullable"]
     kept = live.select(*names).join(dropped, names[:2], "left_anti").join(touched, names[:2], "left_anti")
     return kept.unionByName(desired.select(*names).join(touched, names[:2], "left_semi"))
+
+
+def object_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
+    """(table_name, kind, name, bucket, change, destructive) from two tables of (table_name, kind, name, definition); kind is index or constraint.
+
+    Objects match by name; a changed definition is a drop and an addition.  Indexes are dropped first (1), then constraints (2);
+    after the columns' buckets (3 to 5) constraints are added (6), then indexes created (7).
+    """
+    keys = ["table_name", "kind", "name"]
+    a, b = live.select(*keys, F.col("definition").alias("old")), desired.select(*keys, F.col("definition").alias("new"))
+    both = a.join(b, keys, "full").filter(~F.col("old").eqNullSafe(F.col("new")))
+    index = F.col("kind") == "index"
+    parts = F.array(
+        F.when(F.col("old").isNotNull(), F.struct(F.when(index, 1).otherwise(2).alias("bucket"), F.concat(F.lit("drop "), "kind").alias("change"), F.lit(True).alias("destructive"))),
+        F.when(F.col("new").isNotNull(), F.struct(F.when(index, 7).otherwise(6).alias("bucket"), F.concat(F.when(index, "create ").otherwise("add "), "kind").alias("change"), F.lit(False).alias("destructive"))),
+    )
+    rows = both.select(*keys, F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("c"))
+    return rows.select(*keys, "c.bucket", "c.change", "c.destructive")
+
+
+def default_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
+    """(table_name, column_name, bucket, change) of columns on both sides, from (table_name, column_name, default_value; null for none)."""
+    keys = ["table_name", "column_name"]
+    both = live.select(*keys, F.col("default_value").alias("old")).join(desired.select(*keys, F.col("default_value").alias("new")), keys)
+    change = F.when(F.col("new").isNull(), "drop default").otherwise(F.concat(F.lit("set default "), "new"))
+    return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select(*keys, F.lit(5).alias("bucket"), change.alias("change"))

@@ -238,6 +238,36 @@ def diff_converges(spark, d):
     return diff.column_changes(diff.applied(live, desired, diff.column_changes(live, desired)), desired)
 
 
+_OBJECTS = """
+WITH live AS (SELECT 't' || p_partkey % 20 AS table_name, CASE WHEN p_partkey % 3 = 0 THEN 'index' ELSE 'constraint' END AS kind, 'o' || p_partkey // 20 AS name, 'on (c' || p_size % 4 || ')' AS definition FROM part WHERE p_partkey % 7 <> 0),
+desired AS (SELECT 't' || p_partkey % 20 AS table_name, CASE WHEN p_partkey % 3 = 0 THEN 'index' ELSE 'constraint' END AS kind, 'o' || p_partkey // 20 AS name, 'on (c' || (p_size + CAST(p_partkey % 5 = 0 AS INTEGER)) % 4 || ')' AS definition FROM part WHERE p_partkey % 11 <> 0)
+"""  # noqa: E501
+
+
+@query(
+    _OBJECTS
+    + """SELECT table_name, kind, name, CASE kind WHEN 'index' THEN 1 ELSE 2 END AS bucket, 'drop ' || kind AS change, true AS destructive FROM (SELECT * FROM live EXCEPT SELECT * FROM desired)
+  UNION ALL SELECT table_name, kind, name, CASE kind WHEN 'index' THEN 7 ELSE 6 END, CASE kind WHEN 'index' THEN 'create index' ELSE 'add constraint' END, false FROM (SELECT * FROM desired EXCEPT SELECT * FROM live)"""
+)
+def diff_objects(spark, d):
+    part = tables.table(spark, d, "part")
+    table_name, name = F.concat(F.lit("t"), F.col("p_partkey") % 20), F.concat(F.lit("o"), F.floor(F.col("p_partkey") / 20))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "index").otherwise("constraint")
+    on = lambda k: F.concat(F.lit("on (c"), k % 4, F.lit(")"))
+    names = [table_name.alias("table_name"), kind.alias("kind"), name.alias("name")]
+    live = part.filter("p_partkey % 7 <> 0").select(*names, on(F.col("p_size")).alias("definition"))
+    desired = part.filter("p_partkey % 11 <> 0").select(*names, on(F.col("p_size") + (F.col("p_partkey") % 5 == 0).cast("int")).alias("definition"))
+    return diff.object_changes(live, desired)
+
+
+@query("SELECT 't' || p_partkey % 20 AS table_name, 'c' || p_partkey // 20 AS column_name, 5 AS bucket, CASE WHEN p_size % 3 = 0 THEN 'drop default' ELSE 'set default ' || p_size % 3 END AS change FROM part WHERE nullif(p_size % 2, 0) IS DISTINCT FROM nullif(p_size % 3, 0)")
+def diff_defaults(spark, d):
+    part = tables.table(spark, d, "part")
+    names = [F.concat(F.lit("t"), F.col("p_partkey") % 20).alias("table_name"), F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 20)).alias("column_name")]
+    default = lambda k: F.nullif(F.col("p_size") % k, F.lit(0)).cast("string").alias("default_value")
+    return diff.default_changes(part.select(*names, default(2)), part.select(*names, default(3)))
+
+
 # --- catalog queries
 
 @query("SELECT r_name, count(n_nationkey) AS n_nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_name > 'F' GROUP BY r_name")
