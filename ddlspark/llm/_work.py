@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Spark's own switch: the shuffle files of a query go when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's bound of the bytes that go to a Python worker at once, and the one that these operators run under unless the session sets another.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 6 << 20
 #: Used only where the session names no ``spark.checkpoint.dir`` and runs in one process, as in local tests.
 _own: list[str] = []
 
@@ -33,6 +35,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's own default; left set, because the operators' last steps run when their results are written
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

@@ -41,6 +41,7 @@ def frozen(batch: pa.RecordBatch) -> bytes:
 
 
 def thawed(data: bytes) -> pa.Table:
+    pa.default_memory_pool().release_unused()  # of the chunk before
     return pa.ipc.open_stream(data).read_all().combine_chunks()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Powers are kept for texts of this many bytes, and made anew for longer ones.
-USUAL_BYTES = 2_100_000
+USUAL_BYTES = 1_600_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)

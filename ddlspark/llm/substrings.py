@@ -39,7 +39,7 @@ from .hashing import BYTE_VALUES, mixed, powers, slide
 #: Bytes of an anchor.
 GRAM = 64
 #: Contexts sorted at once (more only if one anchor has more).
-CONTEXTS = 16_000
+CONTEXTS = 5_000
 #: Places of an anchor whose contexts one task gathers at most; windows around those that have more are counted by hashes.
 HOT = 20_000
 #: Anchors for each byte of text, about.
@@ -88,11 +88,11 @@ def repeated_starts(group: np.ndarray, strings: list[bytes], left: np.ndarray, l
     """
     n, reach = len(strings), length - gram
     columns = reach + length
-    symbols = np.zeros((n, columns), np.int32)  # 0: outside of the document
+    symbols = np.zeros((n, columns), np.int16)  # 0: outside of the document
     size = np.array([len(s) for s in strings], dtype=np.int64)
     begin = np.arange(n) * columns + reach - left
     cell = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    symbols.ravel()[cell] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int32) + 1
+    symbols.ravel()[cell] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1
     symbols = np.ascontiguousarray(symbols.T)
     dense = np.cumsum(np.concatenate([[0], np.diff(group) != 0])).astype(np.int64) * 257
     order, shared = np.arange(n), np.zeros(n + 1, np.int64)  # shared[i]: symbols that order[i - 1] and order[i] have in common

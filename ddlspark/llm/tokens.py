@@ -13,7 +13,7 @@ import re
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Parts kept per worker and tokenizer, and the longest that is kept; the memo is emptied when full, so memory stays bounded.
-MEMO_PARTS, MEMO_CHARS = 700_000, 40
+MEMO_PARTS, MEMO_CHARS = 250_000, 40
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What makes a text be encoded whole, besides characters beyond Latin-1.
 ODD = ("'", "ª", "µ", "º", "<|", "  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
