@@ -96,7 +96,7 @@ def test_jaccard_groups(spark):
 
 
 def test_jaccard_chains_of_near_copies(spark):
-    """Chains in which only neighbours link, so that leaders, blocks and derived answers all matter."""
+    """Chains in which only neighbours link, so that leaders, units and derived answers all matter."""
     w = [f"w{k}" for k in range(400)]
     pairs = [(k, " ".join(w[7 * k : 7 * k + 100])) for k in range(30)] + [(100 + k, " ".join(w[5 * k + 90 : 5 * k + 150])) for k in range(30)]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(frame(spark, pairs)).collect())
