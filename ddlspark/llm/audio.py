@@ -40,18 +40,25 @@ def filters() -> list[tuple[int, int, int, int, int]]:
     return [(k % 3, (5 * k) % CLASSES % (CLASSES - 5), 4 + 2 * (k % 2), k % 3, SPAN - 2 - k % 3) for k in range(16)]
 
 
+WINDOW = np.hanning(FRAME)
+PITCH = np.fft.rfftfreq(FRAME, 1 / RATE)
+USED = np.flatnonzero((PITCH > 100) & (PITCH < 3000))
+PITCH_CLASS = np.round(12 * np.log2(PITCH[USED] / 440.0)).astype(int) % CLASSES
+#: The used frequencies, class by class, and where each class starts (each has some).
+USED = USED[np.argsort(PITCH_CLASS, kind="stable")]
+STARTS = np.searchsorted(np.sort(PITCH_CLASS), np.arange(CLASSES))
+#: The tones that a tune is played with, of FRAME samples each.
+TONES = np.sin(2 * np.pi * 220.0 * 2 ** (np.arange(24) / 12)[:, None] * np.arange(FRAME) / RATE)
+
+
 def chroma(samples: np.ndarray) -> np.ndarray:
     """One row a frame: energy by pitch class, adding up to 1 (or 0 in silence)."""
     n = 1 + (len(samples) - FRAME) // HOP if len(samples) >= FRAME else 0
-    if n <= 0:
-        return np.zeros((0, CLASSES))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n] * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    pitch = np.fft.rfftfreq(FRAME, 1 / RATE)
-    used = (pitch > 100) & (pitch < 3000)
-    of = np.round(12 * np.log2(pitch[used] / 440.0)).astype(int) % CLASSES
-    out = np.zeros((n, CLASSES))
-    np.add.at(out.T, of, power[:, used].T)
+    out = np.zeros((max(n, 0), CLASSES))
+    for k in range(0, n, 256):  # of a long recording only so many frames are transformed at once
+        part = samples[k * HOP : (min(n, k + 256) - 1) * HOP + FRAME]
+        tones = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP] * WINDOW, axis=1)[:, USED]
+        out[k : k + 256] = np.add.reduceat(tones.real**2 + tones.imag**2, STARTS, axis=1)
     total = out.sum(axis=1, keepdims=True)
     return np.divide(out, total, out=np.zeros_like(out), where=total > 1e-9)
 
@@ -64,10 +71,9 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int32)
     whole = np.zeros((len(image) + 1, CLASSES + 1))
     whole[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
 
     def area(t0: int, t1: int, c0: int, c1: int) -> np.ndarray:
-        return whole[at + t1, c1] - whole[at + t0, c1] - whole[at + t1, c0] + whole[at + t0, c0]
+        return whole[t1 : t1 + n, c1] - whole[t0 : t0 + n, c1] - whole[t1 : t1 + n, c0] + whole[t0 : t0 + n, c0]
 
     bits = np.zeros(n, np.uint32)
     for kind, c, height, t, width in filters():
@@ -98,9 +104,7 @@ def fingerprints(samples: Column) -> Column:
 
 def tune(values: np.ndarray) -> np.ndarray:
     """PCM samples of a tune of one note of FRAME samples a value, its pitch by the value."""
-    time = np.arange(FRAME) / RATE
-    notes = np.clip(np.floor(np.nan_to_num(values) * 40 + 12), 0, 23)
-    return np.sin(2 * np.pi * 220.0 * 2 ** (notes / 12)[:, None] * time).ravel()
+    return TONES[np.clip(np.floor(np.nan_to_num(values) * 40 + 12), 0, 23).astype(int)].ravel()
 
 
 def played(values: Column, clip_of: Column | None = None) -> Column:
@@ -129,7 +133,8 @@ def played(values: Column, clip_of: Column | None = None) -> Column:
 def classes_of(prints: DataFrame, id_col: str, print_col: str, name: str) -> tuple[DataFrame, DataFrame]:
     """The rows (id, print, class) with a fingerprint, and the classes (class, rep, print)."""
     rows = prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(print_col), F.array().cast(PRINT)).alias("print"))
-    rows = materialize(rows.filter(F.size("print") > 0).withColumn("class", F.xxhash64("print")), name)
+    # filtered when written: before, each fingerprint would be made twice, once for the filter
+    rows = materialize(rows.withColumn("class", F.xxhash64("print")), name).filter(F.size("print") > 0)
     return rows, materialize(rows.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("print").alias("print")), name)
 
 
