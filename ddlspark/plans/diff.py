@@ -59,3 +59,26 @@ def default_changes(live: DataFrame, desired: DataFrame) -> DataFrame:
     both = live.select(*keys, F.col("default_value").alias("old")).join(desired.select(*keys, F.col("default_value").alias("new")), keys)
     change = F.when(F.col("new").isNull(), "drop default").otherwise(F.concat(F.lit("set default "), "new"))
     return both.filter(~F.col("old").eqNullSafe(F.col("new"))).select(*keys, F.lit(5).alias("bucket"), change.alias("change"))
+
+
+def refusals(live: DataFrame, desired: DataFrame) -> DataFrame:
+    """(table_name, refusal) for differences of tables that no change of columns or objects can settle.
+
+    Both sides have one row a table: (table_name, partition_key, is_partition, unlogged).  Tables that are on one side only are not compared.
+    """
+    names = ["partition_key", "is_partition", "unlogged"]
+    both = live.select("table_name", *[F.col(c).alias(f"old_{c}") for c in names]).join(desired.select("table_name", *names), "table_name")
+    texts = {"partition_key": "partition-key-differs", "is_partition": "partition-attachment-differs", "unlogged": "persistence-differs"}
+    found = F.array(*[F.when(~F.col(f"old_{c}").eqNullSafe(F.col(c)), text) for c, text in texts.items()])
+    return both.select("table_name", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("refusal"))
+
+
+def refused_columns(live: DataFrame, desired: DataFrame) -> DataFrame:
+    """(table_name, column_name, refusal) of columns to add that an added column's text cannot carry.
+
+    Both sides have (table_name, column_name); ``desired`` also sequence_default (boolean) and collation (null or empty for none).
+    """
+    keys = ["table_name", "column_name"]
+    came = desired.join(live.select(*keys), keys, "left_anti")
+    why = F.when(F.col("sequence_default"), "sequence-default").when(F.length("collation") > 0, "collation")
+    return came.select(*keys, why.alias("refusal")).filter("refusal is not null")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions.types import binary_coercible, fitted
 from .operators import copy, rewrite, validate
-from .plans import classify, diff
+from .plans import advice, classify, diff
 from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +202,35 @@ def fitted_identifiers(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", fitted(name).alias("name"))
 
 
+@query(
+    _OPS
+    + """, sized AS (SELECT *, count(*) OVER (PARTITION BY stmt_id) AS n_ops FROM routed)
+SELECT stmt_id, op_no,
+  CASE WHEN NOT steps OR n_ops > 1 THEN '' WHEN kind = 'detach partition' THEN 'non-transactional,detach-finalize-on-failure' WHEN kind LIKE '%index' THEN 'non-transactional,invalid-index-on-failure'
+    WHEN con IN ('primary key','unique') AND kind <> 'set not null' THEN 'non-transactional,separate-transactions,invalid-index-on-failure' ELSE 'separate-transactions,validation-scan,scaffold-constraint-on-failure' END AS caveats,
+  CASE WHEN reason <> 'safer-idiom' THEN NULL WHEN n_ops > 1 THEN 'split-statement' WHEN steps THEN NULL WHEN kind = 'add column' THEN 'add-column-then-constraint' WHEN kind = 'attach partition' THEN 'prevalidated-check'
+    WHEN con = 'not null' THEN 'not-null-scaffold' WHEN con IN ('check','foreign key') THEN 'name-constraint-then-validate' ELSE 'unique-index-then-constraint' END AS guidance,
+  CASE WHEN kind IN ('drop index','reindex') THEN 'index-statement' WHEN kind IN ('create table','create partition','rename index','unrecognized') THEN 'unsupported-statement' END AS refused,
+  CASE kind WHEN 'create index' THEN CASE WHEN conc THEN 'concurrent-index-build' ELSE 'blocking-index-build' END
+    WHEN 'add constraint' THEN CASE WHEN using_index THEN 'index-adoption' WHEN con = 'foreign key' AND not_valid THEN 'not-valid-foreign-key' WHEN con IN ('primary key','unique','exclude') THEN 'blocking-index-build' END END AS parent_cause
+  FROM sized"""
+)
+def operation_advice(spark, d):
+    out = advice.advised(_decisions(spark, d))
+    return out.select("stmt_id", "op_no", F.array_join("caveats", ",").alias("caveats"), "guidance", "refused", "parent_cause")
+
+
+@query(
+    """WITH RECURSIVE up(name, above) AS (SELECT p_partkey, p_partkey FROM part UNION ALL SELECT name, above // 4 FROM up WHERE above >= 4)
+SELECT a.p_partkey AS name, CAST(sum(p.p_size) * 1000 AS BIGINT) AS total_bytes, sum(p.p_size) * 1000 > 100000 AS blocked FROM up JOIN part p ON p.p_partkey = name JOIN part a ON a.p_partkey = above GROUP BY a.p_partkey"""
+)
+def partition_tree_sizes(spark, d):
+    """The parts as a tree: each hangs below the one of a quarter of its number."""
+    parent = F.when(F.col("p_partkey") >= 4, F.floor(F.col("p_partkey") / 4).cast("long"))
+    relations = tables.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("name"), parent.alias("parent"), (F.col("p_size") * 1000).alias("relation_bytes"))
+    return advice.tree_sizes(relations, 100_000)
+
+
 # --- declarative diff: the live model is made of the parts, the desired one of them shifted
 
 _MODELS = """
@@ -268,6 +297,29 @@ def diff_defaults(spark, d):
     return diff.default_changes(part.select(*names, default(2)), part.select(*names, default(3)))
 
 
+@query(
+    """SELECT p_partkey AS table_name, unnest(list_filter([CASE WHEN nullif(p_size % 3, 0) IS DISTINCT FROM nullif(p_size % 4, 0) THEN 'partition-key-differs' END,
+  CASE WHEN (p_size % 5 = 0) <> (p_partkey % 5 = 0) THEN 'partition-attachment-differs' END, CASE WHEN (p_size % 7 = 0) <> (p_partkey % 7 = 0) THEN 'persistence-differs' END], lambda x: x IS NOT NULL)) AS refusal FROM part"""
+)
+def diff_refusals(spark, d):
+    def side(key, number):
+        facts = [F.nullif(F.col("p_size") % key, F.lit(0)).alias("partition_key"), (F.col(number) % 5 == 0).alias("is_partition"), (F.col(number) % 7 == 0).alias("unlogged")]
+        return tables.table(spark, d, "part").select(F.col("p_partkey").alias("table_name"), *facts)
+
+    return diff.refusals(side(3, "p_size"), side(4, "p_partkey"))
+
+
+@query(
+    """SELECT 't' || p_partkey % 20 AS table_name, 'c' || p_partkey // 20 AS column_name, CASE WHEN p_size % 4 = 0 THEN 'sequence-default' ELSE 'collation' END AS refusal
+  FROM part WHERE p_partkey % 7 = 0 AND (p_size % 4 = 0 OR p_size % 3 = 0)"""
+)
+def diff_refused_columns(spark, d):
+    part = tables.table(spark, d, "part")
+    names = [F.concat(F.lit("t"), F.col("p_partkey") % 20).alias("table_name"), F.concat(F.lit("c"), F.floor(F.col("p_partkey") / 20)).alias("column_name")]
+    desired = part.select(*names, (F.col("p_size") % 4 == 0).alias("sequence_default"), F.when(F.col("p_size") % 3 == 0, "C").alias("collation"))
+    return diff.refused_columns(part.filter("p_partkey % 7 <> 0").select(*names), desired)
+
+
 # --- catalog queries
 
 @query("SELECT r_name, count(n_nationkey) AS n_nations FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_name > 'F' GROUP BY r_name")
