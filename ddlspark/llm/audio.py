@@ -133,7 +133,7 @@ def played(values: Column, clip_of: Column | None = None) -> Column:
 def classes_of(prints: DataFrame, id_col: str, print_col: str, name: str) -> tuple[DataFrame, DataFrame]:
     """The rows (id, print, class) with a fingerprint, and the classes (class, rep, print)."""
     rows = prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(print_col), F.array().cast(PRINT)).alias("print"))
-    # filtered when written: before, each fingerprint would be made twice, once for the filter
+    # filtered when read back: a filter before the write would make each fingerprint twice
     rows = materialize(rows.withColumn("class", F.xxhash64("print")), name).filter(F.size("print") > 0)
     return rows, materialize(rows.groupBy("class").agg(F.min("id").alias("rep"), F.any_value("print").alias("print")), name)
 
