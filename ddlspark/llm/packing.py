@@ -37,11 +37,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
     step = 4 * capacity
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = ids_of(WordIds, tokenizer).encode
+        encoded = ids_of(WordIds, tokenizer).encoded
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = encode(text) + end
+            for doc_id, ids in zip(batch["doc_id"], encoded(batch["text"].tolist()), strict=True):
+                ids += end
                 for k in range(0, len(ids), step):
                     part = ids[k : k + step]
                     row = (doc_id, k // step, k // 4, len(part) // 4, zlib.crc32(part))

@@ -75,7 +75,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
     """Write the ids of ``docs`` by ascending id, ``end_id`` after each document, as segments under ``path``."""
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end, part, seq = ids_of(ByteLevelIds, tokenizer).encode, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
+        encoded, end, part, seq = ids_of(ByteLevelIds, tokenizer).encoded, end_id.to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         doc_ids, held, size = [], [], 0
 
         def done() -> pd.DataFrame:
@@ -86,9 +86,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: s
             return frame.astype({"first_id": "Int64"})
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, ids in zip(batch["doc_id"], encoded(batch["text"].tolist()), strict=True):
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
-                held.append(encode(text) + end)
+                held.append(ids + end)
                 size += len(held[-1]) // 4
                 if size >= SEGMENT_TOKENS:
                     yield done()

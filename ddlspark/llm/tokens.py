@@ -3,17 +3,24 @@
 Both tokenizers first divide a text by a pattern and then encode each part by itself.  In a text of Latin-1
 characters without apostrophes, runs of white space or special tokens, runs of letters (with a leading space, for
 the byte-level one) are such parts, so it is cut around them, and each distinct part goes to the tokenizers library
-once.  Any other text is encoded whole.
+once.  Any other text is encoded whole.  Texts are cut some MB at a time by array operations over their bytes; a memo is asked
+only for the distinct parts of these.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer, pre_tokenizers
 
-#: Parts kept per worker and tokenizer, and the longest that is kept; the memo is emptied when full, so memory stays bounded.
-MEMO_PARTS, MEMO_CHARS = 250_000, 40
+#: Parts in each of the two halves of a memo, and the longest that is kept.  A full half replaces the older one, so memory stays bounded and what is in use stays.
+MEMO_PARTS, MEMO_CHARS = 200_000, 40
+#: Characters of texts that array operations cut at once.
+PASS_CHARS = 4_000_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: What makes a text be encoded whole, besides characters beyond Latin-1.
 ODD = ("'", "ª", "µ", "º", "<|", "  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0")
@@ -30,25 +37,26 @@ def unusual(text: str) -> bool:
 
 
 class Ids(dict):
-    """Part of a text -> its ids as little-endian uint32 bytes."""
+    """Part of a text -> its ids as little-endian uint32 bytes.  ``WORD`` is a part that the model takes, in its group, without the tokenizer's first steps."""
 
-    PARTS: re.Pattern
     WORD: re.Pattern
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.bytes = {i: mapped.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
 
     def __missing__(self, part: str) -> bytes:
-        if self.WORD.fullmatch(part):
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(part.translate(self.bytes))])
-        else:
-            ids = self.whole(part)
+        ids = self.older.get(part)
+        if ids is None:
+            word = self.WORD.fullmatch(part)
+            ids = array("I", [t.id for t in self.model.tokenize(word[1].translate(self.bytes))]).tobytes() if word else self.whole(part)
         if len(part) <= MEMO_CHARS:
             if len(self) >= MEMO_PARTS:
+                self.older = dict(self)
                 self.clear()
             self[part] = ids
         return ids
@@ -60,29 +68,91 @@ class Ids(dict):
     def prepared(self, text: str) -> str:
         return text
 
+    def starts(self, letter: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Whether a part starts at each byte of ``data``; texts start at ``first``, and ``letter`` marks bytes of letters."""
+        raise NotImplementedError
+
     def encode(self, text: str) -> bytes:
         """The ids of a whole text."""
-        if unusual(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.PARTS.findall(self.prepared(text))))
+        return next(self.encoded([text]))
+
+    def encoded(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each of ``texts``, in order; texts of about ``PASS_CHARS`` characters (a longer one alone) are worked on at once."""
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > PASS_CHARS:
+                yield from self.passed(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield from self.passed(held)
+
+    def passed(self, texts: list[str]) -> Iterator[bytes]:
+        odd = [unusual(t) for t in texts]
+        # a text that is encoded whole is an empty one here
+        raw = [b"" if o else self.prepared(t).encode() for t, o in zip(texts, odd, strict=True)]
+        begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        ids, at = self.joined(data, begin)
+        for text, whole, a, b in zip(texts, odd, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield self.whole(text) if whole else ids[a:b].tobytes()
+
+    def joined(self, data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where those of each begin (and the last one's end)."""
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(begin), np.int64)
+        first = np.zeros(len(data), bool)
+        first[begin[:-1][begin[:-1] < len(data)]] = True
+        part = np.flatnonzero(self.starts(letters(data), data, first))
+        ends = np.append(part, len(data)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        known = [self[p] for p in coded.dictionary.to_pylist()]
+        flat, size = np.frombuffer(b"".join(known), "<u4"), np.array([len(k) // 4 for k in known])
+        index = coded.indices.to_numpy()
+        n = size[index]
+        to = np.cumsum(n)
+        shift = np.repeat((np.cumsum(size) - size)[index] - (to - n), n)
+        return flat[shift + np.arange(len(shift))], np.append(0, to)[np.searchsorted(part, begin)]
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of Latin-1 characters in UTF-8 are those of LETTERS."""
+    lower = data | 0x20
+    out = (lower >= ord("a")) & (lower <= ord("z")) & (data < 0x80)
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1  # of two bytes, from À to ÿ
+    second = second[(data[second] != 0x97) & (data[second] != 0xB7)]  # but the signs of multiplication and division
+    out[second] = out[second - 1] = True
+    return out
 
 
 class ByteLevelIds(Ids):
     """For a byte-level BPE whose parts take one leading space."""
 
-    PARTS = re.compile(rf" ?[{LETTERS}]+|(?:[^{LETTERS} ]| (?![{LETTERS}]))+")
-    WORD = re.compile(rf" ?[{LETTERS}]+")
+    WORD = re.compile(rf"( ?[{LETTERS}]+)")
+
+    def starts(self, letter: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        leads = data == ord(" ")  # spaces before a letter of the same text
+        leads[:-1] &= letter[1:] & ~first[1:]
+        leads[-1:] = False
+        word = letter | leads
+        return first | leads | np.append(False, word[1:] != word[:-1])
 
 
 class WordIds(Ids):
     """For a lower-casing BPE that drops white space."""
 
-    PARTS = re.compile(rf"[{LETTERS}]+|[^\s{LETTERS}]+")
-    WORD = re.compile(rf"[{LETTERS}]+")
+    WORD = re.compile(rf" ?([{LETTERS}]+)")
 
     def prepared(self, text: str) -> str:
         return text.lower()
 
+    def starts(self, letter: np.ndarray, data: np.ndarray, first: np.ndarray) -> np.ndarray:
+        # of white space only spaces and line ends are here, each by itself; a space goes with what follows it
+        space = data == ord(" ")
+        kind = letter + np.uint8(2) * (data == ord("\n"))
+        return first | space | np.append(False, (kind[1:] != kind[:-1]) & ~space[:-1])
+
 
 def ids_of(kind: type[Ids], path: str) -> Ids:
     """The worker's memo of that tokenizer, made once."""
